@@ -16,3 +16,19 @@ kept AS (SELECT e.doc_id, string_agg(word, ' ' ORDER BY e.p) AS k, count(*) AS n
 SELECT words.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(k, '')) AS kept_sha256
 FROM words LEFT JOIN kept USING (doc_id)
 """
+
+ORACLES["op7_near_duplicates"] = r"""
+WITH RECURSIVE words AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+texts AS (SELECT min(doc_id) AS id, t, any_value(w) AS w FROM words GROUP BY t),
+sh AS (
+  SELECT DISTINCT id, hash(array_to_string(w[i + 1 : i + 5], ' ')) AS h
+  FROM (SELECT id, w, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [0] ELSE range(len(w) - 4) END) AS i FROM texts)),
+n AS (SELECT id, count(*) AS n FROM sh GROUP BY id),
+links AS (
+  SELECT a.id AS u, b.id AS v
+  FROM sh a JOIN sh b ON a.h = b.h AND a.id <> b.id JOIN n na ON na.id = a.id JOIN n nb ON nb.id = b.id
+  GROUP BY a.id, b.id, na.n, nb.n HAVING count(*) >= 0.8 * (na.n + nb.n - count(*))),
+reach AS (SELECT id AS u, id AS v FROM texts UNION SELECT r.u, l.v FROM reach r JOIN links l ON l.u = r.v),
+class AS (SELECT u AS id, min(v) AS class_id FROM reach GROUP BY u)
+SELECT words.doc_id, class.class_id FROM words JOIN texts USING (t) JOIN class USING (id)
+"""
