@@ -176,7 +176,10 @@ class Codec:
         return np.column_stack((np.maximum(whole[begins + 1] - 1 - base, 0), whole[ends] - base)).astype(np.uint32)
 
 
-codec = lru_cache(maxsize=2)(Codec)
+@lru_cache(maxsize=2)
+def codec(path: str) -> Codec:
+    """The worker process's own codec."""
+    return Codec(path)
 
 
 def _packed(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
