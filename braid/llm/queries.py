@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe
+from .mixing import plan_mix, taken
 from .near_dedup import near_duplicates
 from .substring_dedup import substring_dedup
 
@@ -21,6 +22,11 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = plan_mix(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return taken(mixed).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str, vocabulary: str = "byte_bpe_multi_50k.tiktoken") -> DataFrame:
     import public_tokenizers
 
