@@ -32,3 +32,19 @@ reach AS (SELECT id AS u, id AS v FROM texts UNION SELECT r.u, l.v FROM reach r
 class AS (SELECT u AS id, min(v) AS class_id FROM reach GROUP BY u)
 SELECT words.doc_id, class.class_id FROM words JOIN texts USING (t) JOIN class USING (id)
 """
+
+ORACLES["op9_chat_format"] = r"""
+WITH own AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, t, r, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) AS v(t, r)),
+spelt AS (
+  SELECT *, regexp_replace(replace(role, '\', '\\'), '([<\[])(/?(?:s>|INST\]))', '\1\\\2', 'g') AS er,
+    regexp_replace(replace(text, '\', '\\'), '([<\[])(/?(?:s>|INST\]))', '\1\\\2', 'g') AS et
+  FROM own)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  sum(length(er) + length(et) + length('<s>[INST][/INST]</s>'))::BIGINT AS formatted_chars
+FROM spelt GROUP BY conv_id
+"""
