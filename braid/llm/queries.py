@@ -8,10 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chat
+from .knn import top_products
 from .mixing import plan_mix, taken
 from .near_dedup import near_duplicates
 from .quality import quality_rules
+from .sharding import hilbert_shards
 from .substring_dedup import substring_dedup
+from .url_filter import host_and_path, url_filter
+from .warc import read_warc, write_warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +32,28 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken(mixed).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op3_voronoi_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_products(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "vec_id % 100 = 0")
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = write_warc(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return read_warc(manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+#: The listed rules of the contract.
+URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled URLs: a page's URL ends in the doc_id of its document; bad is low quality or toxic."""
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    doc = F.expr(r"try_cast(regexp_extract(path, '/([0-9]+)[^/]*/?$', 1) AS long)")
+    labels = _table(spark, sf_dir, "labels").select("doc_id", ((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int").alias("bad"))
+    known = pages.withColumn("path", host_and_path(F.col("url"))[1]).withColumn("doc_id", doc).join(labels, "doc_id").select("url", "bad")
+    return url_filter(pages, known, URL_RULES).select("page_id", "host", "path", "rule", "verdict", "template", F.round("bad_part", 6).alias("bad_part"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str, vocabulary: str = "byte_bpe_multi_50k.tiktoken") -> DataFrame:
     import public_tokenizers
 
@@ -41,6 +67,11 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id")
 
 
+def op8_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = hilbert_shards(_table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"), shards=8)
+    return done.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     own = spark.createDataFrame([(-1, t, r, "</s>[INST] ok [/INST]") for t, r in enumerate(("user", "assistant"))], "conv_id long, turn long, role string, text string")
