@@ -26,13 +26,20 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return put
 
 
+def _load() -> None:
+    from . import queries  # noqa: F401  registers
+
+
 def queries() -> dict[str, Query]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_SQL)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _load()
     return _QUERIES["seg_basic_events"](spark, sf_dir)
