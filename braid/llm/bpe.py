@@ -27,7 +27,7 @@ from .textkernel import _BYTE, mix
 OTHER, LETTER, NUMBER, BLANK = 0, 1, 2, 3
 #: The endings that the pattern takes together with an apostrophe before them.
 ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
-CACHE_PIECES = 500_000
+CACHE_PIECES = 300_000
 
 
 def byte_characters() -> list[str]:
@@ -42,8 +42,12 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
+def _room(x: np.ndarray, n: int) -> np.ndarray:
+    return x if n <= len(x) else np.concatenate((x, np.zeros(max(n, 2 * len(x)) - len(x), dtype=x.dtype)))
+
+
 class Codec:
-    """Encoder and decoder of one rank file. The pattern's rules are those of :func:`piece_starts`."""
+    """Encoder of one rank file. The pattern's rules are those of :func:`piece_starts`."""
 
     def __init__(self, path: str):
         from tokenizers import Regex, Tokenizer, models, pre_tokenizers
@@ -59,10 +63,9 @@ class Codec:
         self.model = Tokenizer(models.BPE(vocab={spell(t): r for t, r in ranks.items()}, merges=merges))
         self.model.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.single = {bytes([b]): ranks[bytes([b])] for b in range(256)}
-        self.bytes_of = [b""] * (max(ranks.values()) + 1)
+        self.length = np.zeros(max(ranks.values()) + 1, dtype=np.int64)
         for token, rank in ranks.items():
-            self.bytes_of[rank] = token
-        self.length = np.array([len(t) for t in self.bytes_of], dtype=np.int64)
+            self.length[rank] = len(token)
         self.kind = np.zeros(0x110000, dtype=np.uint8)
         every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
         for kind, name in ((LETTER, r"\p{L}"), (NUMBER, r"\p{N}"), (BLANK, r"\s")):
@@ -75,8 +78,11 @@ class Codec:
 
     def forget(self) -> None:
         self.places: dict[int, int] = {}
-        self.pieces: list[np.ndarray] = []
-        self.checks: list[int] = []
+        self.flat = np.zeros(1 << 16, dtype=np.uint32)  # the ids of all pieces, one after the other
+        self.begin = np.zeros(1 << 16, dtype=np.int64)
+        self.size = np.zeros(1 << 16, dtype=np.int32)
+        self.check = np.zeros(1 << 16, dtype=np.int64)
+        self.used = 0
 
     def piece_starts(self, code: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """Where pieces start among code points; ``bounds`` are the texts' ends."""
@@ -112,7 +118,7 @@ class Codec:
         return np.flatnonzero(start)
 
     def lookup(self, data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-        """The place of each piece (a range of bytes) in ``pieces``, encoding those that are new."""
+        """The place of each piece (a range of bytes) among the known ones, encoding those that are new."""
         up, down = powers("byte", len(data) + 1)
         sums = np.zeros(len(data) + 1, dtype=np.uint64)
         np.cumsum(_BYTE[data] * up[: len(data)], out=sums[1:])
@@ -134,12 +140,20 @@ class Codec:
                 except UnicodeDecodeError:
                     texts.append("")
                     odd[i] = [self.single[bytes([b])] for b in piece]
-            for i, (k, found) in enumerate(zip(new, self.model.encode_batch_fast(texts, add_special_tokens=False), strict=True)):
-                self.places[keys[k]] = len(self.pieces)
-                self.pieces.append(np.array(odd.get(i) or found.ids, dtype=np.uint32))
-                self.checks.append(int(check[k]))
-        at = np.array([self.places[k] for k in keys], dtype=np.int64)
-        if any(self.checks[p] != c for p, c in zip(at.tolist(), check.tolist(), strict=True)):
+            found = [odd.get(i) or e.ids for i, e in enumerate(self.model.encode_batch_fast(texts, add_special_tokens=False))]
+            sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+            ids = np.fromiter((x for f in found for x in f), dtype=np.uint32, count=int(sizes.sum()))
+            n, m = len(self.places), self.used
+            self.flat = _room(self.flat, m + len(ids))
+            self.begin, self.size, self.check = (_room(x, n + len(new)) for x in (self.begin, self.size, self.check))
+            self.flat[m : m + len(ids)] = ids
+            self.begin[n : n + len(new)] = m + np.cumsum(sizes) - sizes
+            self.size[n : n + len(new)] = sizes
+            self.check[n : n + len(new)] = check[new]
+            self.used = m + len(ids)
+            self.places.update(zip((keys[k] for k in new), range(n, n + len(new)), strict=True))
+        at = np.fromiter((self.places[k] for k in keys), dtype=np.int64, count=len(keys))
+        if (self.check[at] != check).any():
             raise ValueError("two pieces have one hash")
         return at[inverse]
 
@@ -154,18 +168,12 @@ class Codec:
         starts = self.piece_starts(code, np.searchsorted(byte_at, bounds))
         begin = byte_at[starts]
         place = self.lookup(data, begin, np.append(begin[1:], len(data)))
-        used, local = np.unique(place, return_inverse=True)
-        parts = [self.pieces[p] for p in used.tolist()]
-        sizes = np.array([len(p) for p in parts])
-        flat, offset = np.concatenate(parts), np.cumsum(sizes) - sizes
-        item, step = spread(sizes[local])
-        ids = flat[offset[local][item] + step]
-        cuts = np.append(0, np.cumsum(sizes[local]))[np.searchsorted(begin, bounds)]
+        sizes = self.size[place]
+        item, step = spread(sizes)
+        ids = self.flat[self.begin[place][item] + step]
+        cuts = np.append(0, np.cumsum(sizes, dtype=np.int64))[np.searchsorted(begin, bounds)]
         return ids, cuts
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids.tolist()))
-
     def offsets(self, ids: np.ndarray, cuts: np.ndarray, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """(tokens, 2): each token's first and last character in its text, the last excluded. Tokens that share a character both hold it."""
         ends = np.cumsum(self.length[ids])
@@ -182,6 +190,16 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
+@lru_cache(maxsize=2)
+def token_bytes(path: str) -> list[bytes]:
+    """The bytes of each id."""
+    ranks = read_ranks(path)
+    out = [b""] * (max(ranks.values()) + 1)
+    for token, rank in ranks.items():
+        out[rank] = token
+    return out
+
+
 def _packed(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
     """A binary value for each text: 4 bytes for each number."""
     raw = np.ascontiguousarray(values, dtype="<u4")
@@ -206,10 +224,10 @@ def _encode(path: str, with_offsets: bool):
 
 def _decode(path: str):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path)
+        get = token_bytes(path).__getitem__
         for batch in batches:
             last = batch.num_columns - 1
-            done = [own.decode(np.frombuffer(x.as_buffer(), dtype="<u4")) if x.is_valid else None for x in batch.column(last)]
+            done = [b"".join(map(get, np.frombuffer(x.as_buffer(), dtype="<u4").tolist())) if x.is_valid else None for x in batch.column(last)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:last], pa.array(done, pa.large_binary())], [*batch.schema.names[:last], "decoded"])
 
     return work

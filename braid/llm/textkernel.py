@@ -14,6 +14,8 @@ import numpy as np
 import pyarrow as pa
 
 _U = np.uint64
+#: Texts are worked on in slices of about so many bytes; working memory is some 200 times that.
+SLICE_BYTES = 1 << 19
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
@@ -98,7 +100,7 @@ def split_words(data: np.ndarray, bounds: np.ndarray) -> Words:
     return Words(data, bounds, starts, ends, doc, first)
 
 
-def slices(texts: pa.Array, most_bytes: int = 1 << 21) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def slices(texts: pa.Array, most_bytes: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(from, to, bytes, bounds) of runs of texts of about ``most_bytes``; a longer text is a slice alone. A null text has no bytes."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
@@ -116,7 +118,7 @@ def slices(texts: pa.Array, most_bytes: int = 1 << 21) -> Iterator[tuple[int, in
         at = to
 
 
-def words_of(texts: pa.Array, most_bytes: int = 1 << 21) -> Iterator[tuple[int, int, Words]]:
+def words_of(texts: pa.Array, most_bytes: int = SLICE_BYTES) -> Iterator[tuple[int, int, Words]]:
     for at, to, data, bounds in slices(texts, most_bytes):
         yield at, to, split_words(data, bounds)
 
