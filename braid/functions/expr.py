@@ -45,7 +45,9 @@ def select_block(df: DataFrame, keys: list[str], block: Block) -> DataFrame:
     names = [n for n, _ in block]
     if len(set(names)) != len(names):
         raise ValueError(f"a block names {sorted(n for n in set(names) if names.count(n) > 1)} twice")
-    return df.select(*keys, *(nz(c.cast("double")).alias(n) for n, c in block))
+    own = [f"__b{i}" for i in range(len(block))]  # a column each, since nz reads its argument several times
+    made = df.select(*keys, *(c.cast("double").alias(o) for o, (_, c) in zip(own, block, strict=True)))
+    return made.select(*keys, *(nz(F.col(o)).alias(n) for o, (n, _) in zip(own, block, strict=True)))
 
 
 class Steps:
