@@ -346,3 +346,141 @@ def hist_learning_curve_area(spark, sf_dir):
     t = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
     e = table(spark, sf_dir, "events").select("user_id", t.alias("t"), "value")
     return rounded(ordered.learning_curve_area(e, ["user_id"], "t", "value", 100))
+
+
+# --- joins, sets, aggregates ---------------------------------------------------------------
+
+from .operators import relational as R  # noqa: E402
+from .plans import linalg  # noqa: E402
+
+_BIG = "SELECT o_custkey FROM orders GROUP BY o_custkey HAVING count(*) >= 12"
+
+
+def _big_customers(spark, sf_dir):
+    return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("n")).where("n >= 12")
+
+
+@query("semi_groups", f"SELECT o_orderkey FROM orders WHERE o_custkey IN ({_BIG})")
+def semi_groups(spark, sf_dir):
+    return R.in_groups(table(spark, sf_dir, "orders"), _big_customers(spark, sf_dir), "o_custkey").select("o_orderkey")
+
+
+@query("anti_groups", f"SELECT o_orderkey FROM orders WHERE o_custkey NOT IN ({_BIG})")
+def anti_groups(spark, sf_dir):
+    return R.in_groups(table(spark, sf_dir, "orders"), _big_customers(spark, sf_dir), "o_custkey", inside=False).select("o_orderkey")
+
+
+@query("set_overlap", "SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' INTERSECT SELECT o_custkey FROM orders WHERE o_orderstatus = 'O'")
+def set_overlap(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    return R.overlap(o.where("o_orderstatus = 'F'"), o.where("o_orderstatus = 'O'"), "o_custkey")
+
+
+@query("set_uncovered", "SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders")
+def set_uncovered(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    return R.uncovered(table(spark, sf_dir, "customer"), o.where("c_custkey % 2 = 0"), o.where("c_custkey % 2 <> 0"), key="c_custkey")
+
+
+@query("subset_split", "SELECT o_orderkey FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS rn, greatest(1, round_even(count(*) OVER () * 0.2, 0)) AS n FROM orders) WHERE rn <= n")
+def subset_split(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    return R.subset(o, ordered.three_way_split(o, "o_orderkey", seed=None), "o_orderkey", "test").select("o_orderkey")
+
+
+@query("bin_lookup", "SELECT (CASE WHEN l_quantity >= 10 THEN 1 ELSE 0 END + CASE WHEN l_quantity >= 20 THEN 1 ELSE 0 END + CASE WHEN l_quantity >= 40 THEN 1 ELSE 0 END)::INT AS bin, count(*) AS n FROM lineitem GROUP BY 1")
+def bin_lookup(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").groupBy(R.bin_of(F.col("l_quantity"), [10, 20, 40]).alias("bin")).agg(F.count("*").alias("n"))
+
+
+@query("longest_prefix", "SELECT o_orderkey, CASE WHEN starts_with(o_orderpriority, '1-U') THEN '1-U' WHEN starts_with(o_orderpriority, '1') THEN '1' WHEN starts_with(o_orderpriority, '2-') THEN '2-' END AS prefix FROM orders")
+def longest_prefix(spark, sf_dir):
+    return R.longest_prefix(table(spark, sf_dir, "orders"), "o_orderpriority", ["1", "1-U", "2-"]).select("o_orderkey", "prefix")
+
+
+@query("pair_products", _rounded_sql({f"{a}_x_{b}": f"{a} * {b}" for i, a in enumerate(S.X) for b in S.X[i + 1 :]}, places=4))
+def pair_products(spark, sf_dir):
+    return rounded(R.pair_products(table(spark, sf_dir, "lineitem"), KEYS, list(S.X)), places=4)
+
+
+@query("standardizer", _rounded_sql({f"z_{x}": f"({x} - avg({x}) OVER ()) / CASE WHEN stddev_pop({x}) OVER () < 1e-8 THEN 1 ELSE stddev_pop({x}) OVER () END" for x in S.X}))
+def standardizer(spark, sf_dir):
+    return rounded(R.standardized(table(spark, sf_dir, "lineitem"), KEYS, list(S.X)))
+
+
+@query("profile_columns", " UNION ALL ".join(f"SELECT '{x}' AS \"column\", count(*) AS n, 1.0::DOUBLE + 0.0 AS finite, round(avg({x}) + 3e-8, 4) + 0.0 AS mean, round(stddev_pop({x}) + 3e-8, 4) + 0.0 AS std, round(min({x}) + 3e-8, 4) + 0.0 AS min, round(max({x}) + 3e-8, 4) + 0.0 AS max FROM lineitem" for x in S.X))
+def profile_columns(spark, sf_dir):
+    return rounded(R.profile(table(spark, sf_dir, "lineitem"), list(S.X)), places=4)
+
+
+_HIST_ROWS = "SELECT event_type AS name, event_id AS step, value AS importance, value / 1000 AS alignment, value - 200 AS score, event_id % 3 = 0 AS selected FROM events"
+
+
+@query(
+    "hist_alternatives",
+    f"WITH h AS ({_HIST_ROWS}) SELECT name, count(*)::BIGINT AS participation_count, count(*) FILTER (WHERE selected)::BIGINT AS selected_count, max_by(importance, step) AS last_importance, max(step) AS last_step, round(avg(importance) + 3e-8, 6) + 0.0 AS mean_importance, round(greatest(max(alignment), 0) + 3e-8, 6) + 0.0 AS max_target_alignment, round(greatest(max(score), 0) + 3e-8, 6) + 0.0 AS best_config_score FROM h GROUP BY name",
+)
+def hist_alternatives(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    rows = e.select(F.col("event_type").alias("name"), F.col("event_id").alias("step"), F.col("value").alias("importance"), (F.col("value") / 1000).alias("alignment"), (F.col("value") - 200).alias("score"), (F.col("event_id") % 3 == 0).alias("selected"))
+    first = R.history(None, rows.where("step % 2 = 0"))
+    done = R.history(first, rows.where("step % 2 = 1"))
+    return rounded(done.drop("sum_importance"), "last_importance")
+
+
+@query("dep_rollup", "WITH d AS (SELECT unnest([l_returnflag, l_linestatus]) AS dep, l_quantity FROM lineitem) SELECT dep, count(*) AS n, round(sum(l_quantity) + 3e-8, 4) + 0.0 AS total, round(avg(l_quantity) + 3e-8, 4) + 0.0 AS mean, round(max(l_quantity) + 3e-8, 4) + 0.0 AS most FROM d GROUP BY dep")
+def dep_rollup(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").withColumn("deps", F.array("l_returnflag", "l_linestatus"))
+    return rounded(R.rollup(li, "deps", "l_quantity"), places=4)
+
+
+# --- readouts ----------------------------------------------------------------------------
+
+
+def _ridge_row(spark, model, names):
+    return rounded(spark.createDataFrame([(n, float(b)) for n, b in zip([*names, "(intercept)"], [*model.coef, model.intercept], strict=True)], "feature string, coef double"), places=4)
+
+
+@query(
+    "ridge_one_feature",
+    "WITH s AS (SELECT avg(l_quantity) AS mx, stddev_pop(l_quantity) AS sx, avg(l_extendedprice) AS my, covar_pop(l_quantity, l_extendedprice) AS c, count(*) AS n FROM lineitem), b AS (SELECT *, (n * c / sx) / (n + 100.0) / sx AS b FROM s) SELECT 'l_quantity' AS feature, round(b + 3e-8, 4) + 0.0 AS coef FROM b UNION ALL SELECT '(intercept)', round(my - mx * b + 3e-8, 4) + 0.0 FROM b",
+)
+def ridge_one_feature(spark, sf_dir):
+    return _ridge_row(spark, linalg.ridge(table(spark, sf_dir, "lineitem"), ["l_quantity"], "l_extendedprice", alpha=100.0), ["l_quantity"])
+
+
+@query(
+    "ridge_two_features",
+    """WITH s AS (SELECT avg(l_quantity) m1, avg(l_tax) m2, stddev_pop(l_quantity) s1, stddev_pop(l_tax) s2, avg(l_extendedprice) my, covar_pop(l_quantity, l_tax) c12, covar_pop(l_quantity, l_extendedprice) c1, covar_pop(l_tax, l_extendedprice) c2, count(*)::DOUBLE n FROM lineitem),
+g AS (SELECT *, n + 1000.0 AS a, n * c12 / s1 / s2 AS o, n * c1 / s1 AS r1, n * c2 / s2 AS r2 FROM s),
+b AS (SELECT *, (a * r1 - o * r2) / (a * a - o * o) / s1 AS b1, (a * r2 - o * r1) / (a * a - o * o) / s2 AS b2 FROM g)
+SELECT 'l_quantity' AS feature, round(b1 + 3e-8, 4) + 0.0 AS coef FROM b UNION ALL SELECT 'l_tax', round(b2 + 3e-8, 4) + 0.0 FROM b UNION ALL SELECT '(intercept)', round(my - m1 * b1 - m2 * b2 + 3e-8, 4) + 0.0 FROM b""",
+)
+def ridge_two_features(spark, sf_dir):
+    return _ridge_row(spark, linalg.ridge(table(spark, sf_dir, "lineitem"), ["l_quantity", "l_tax"], "l_extendedprice", alpha=1000.0), ["l_quantity", "l_tax"])
+
+
+@query("ridge_loo")
+def ridge_loo(spark, sf_dir):
+    """The penalty of the least leave-one-out error, with weights."""
+    li = table(spark, sf_dir, "lineitem")
+    model = linalg.ridge(li, ["l_quantity", "l_discount", "l_tax"], "l_extendedprice", weight="l_quantity")
+    return _ridge_row(spark, model, ["l_quantity", "l_discount", "l_tax"]).crossJoin(spark.createDataFrame([(float(model.alpha),)], "alpha double"))
+
+
+@query("evaluate_structural_seed")
+def evaluate_structural_seed(spark, sf_dir):
+    from .plans.evaluate import evaluate, result_table
+    from .plans.graph import structural_seed
+
+    df = embedding_series(spark, sf_dir).select("series", F.col("label").cast("double").alias("y"), (F.col("vec_id") % 3).cast("int").alias("fold"))
+    return result_table(spark, evaluate(structural_seed(), df, {"series": "series"}, "y", "fold", boundary=32, length=64, most=16))
+
+
+@query("evaluate_tabular_seed")
+def evaluate_tabular_seed(spark, sf_dir):
+    from .plans.evaluate import evaluate, result_table
+    from .plans.graph import tabular_seed
+
+    li = table(spark, sf_dir, "lineitem").select("l_quantity", "l_discount", "l_tax", F.col("l_extendedprice").alias("y"), F.pmod(F.xxhash64("l_orderkey"), F.lit(3)).cast("int").alias("fold"))
+    return result_table(spark, evaluate(tabular_seed(), li, {"x": ["l_quantity", "l_discount", "l_tax"]}, "y", "fold", most=8, keep=4))
