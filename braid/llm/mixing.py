@@ -196,7 +196,8 @@ def plan_mix(
     pieces = pieces.withColumns({"from": F.greatest("at", F.col("block") * words), "to": F.least(F.col("at") + F.col("size"), (F.col("block") + 1) * words)}).select("s", "block", "k1", "k2", "copy", "at", "from", "to")
     plan = spark.createDataFrame(draw(shares, shard_slots, seed) or [], "shard long, s long, first long, count long").repartition(max(1, min(200, sum(s.slots for s in shares) // 20_000)))
     slots = plan.mapInArrow(_slot_blocks(shares, block_words), "shard long, s long, slot long, turn long, block long, most long")
-    spans = slots.join(pieces, ["s", "block"]).withColumn("words", F.least("to", F.col("block") * words + F.col("most")) - F.col("from")).where("words > 0")
+    # both sides grow with the input, and no estimate knows how many slots a plan row has
+    spans = slots.hint("merge").join(pieces, ["s", "block"]).withColumn("words", F.least("to", F.col("block") * words + F.col("most")) - F.col("from")).where("words > 0")
     return Mix(rows, spans.select("shard", "slot", "turn", "s", "k1", "k2", "copy", (F.col("from") - F.col("at")).alias("first"), "words"), shares)
 
 
