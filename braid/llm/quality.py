@@ -98,7 +98,8 @@ def cutoffs(labelled: DataFrame, counts: dict[str, str], alpha: float, delta: fl
     tries = len(next(iter(RULES.values()))[2])
     level = lambda rule: reduce(lambda a, b: a + b, ((_value(rule, counts) > c).cast("int") for c in RULES[rule][2]))
     rows = labelled.select("stratum", "good", F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), level(r).alias("level")) for r in RULES))).alias("x")).select("stratum", "good", "x.*")
-    lost = lambda good: F.array(*(F.count(F.when((F.col("good") == good) & (F.col("level") >= j), 1)) for j in range(1, tries + 1)))
+    # a text of level L is above the L strictest cutoffs, which stand last
+    lost = lambda good: F.array(*(F.count(F.when((F.col("good") == good) & (F.col("level") >= tries - j), 1)) for j in range(tries)))
     tables = rows.groupBy("stratum", "rule").agg(F.count(F.when(F.col("good"), 1)).alias("n"), lost(True).alias("k"), lost(False).alias("b"))
     strata = tables.groupBy("rule").agg(F.count("*").alias("strata"))
     tried = tables.join(strata, "rule").select("stratum", "rule", "n", "strata", F.posexplode(F.arrays_zip("k", "b")).alias("j", "kb"))
