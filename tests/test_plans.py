@@ -195,3 +195,52 @@ def test_lookback_windows(spark):
     df = spark.createDataFrame([("a", i, float(i)) for i in range(5)] + [("b", 0, 9.0)], "e string, t long, v double")
     got = {(r.e, r.t): r.series for r in lookback.lookback(df, "e", ["t"], "v", 3).collect()}
     assert got["a", 4] == [2.0, 3.0, 4.0] and got["a", 0] == [0.0] and got["b", 0] == [9.0]
+
+
+def test_expressions(spark):
+    from braid.functions.source import ground_truth, translate
+
+    df = spark.createDataFrame([(2.0, -3.0, [1.0, 2.0, 4.0])], "x double, y double, s array<double>")
+    names = {c: F.col(c) for c in df.columns}
+    for text, want in (("x * y + 1", -5.0), ("clip(abs(y), 0, 2)", 2.0), ("mean(s) - median(s)", 1 / 3), ("where(x > y, sqrt(square(x)), 0)", 2.0), ("std(diff(s))", 0.5), ("quantile(s, 0.25)", 1.5)):
+        assert df.select(translate(text, names).alias("v")).first().v == pytest.approx(want)
+    for text in ("__import__('os')", "x.__class__", "[x for x in s]", "lambda: 1", "open(x)", "x if x else y", "x ="):
+        with pytest.raises(ValueError):
+            translate(text, names)
+    assert df.select(ground_truth("safe_ratio", [F.col("x"), F.col("y")], offset=1.0).alias("v")).first().v == 0.5
+
+
+def test_protocol_seals_the_test_rows(spark):
+    from braid.plans.protocol import Budget, SealedProtocol
+
+    rows = spark.range(30).withColumn("y", F.col("id") * 1.0)
+    parts = {"train": rows.where("id < 10"), "validation": rows.where("id >= 10 AND id < 20"), "test": rows.where("id >= 20")}
+    p = SealedProtocol(parts, "id")
+    with pytest.raises(PermissionError):
+        p.part("test")
+    with pytest.raises(PermissionError):
+        p.evaluate(lambda d: d)
+    p.finalize()
+    assert p.evaluate(lambda d: d).count() == 10
+    with pytest.raises(PermissionError):
+        p.evaluate(lambda d: d)
+    with pytest.raises(ValueError):
+        SealedProtocol(parts | {"test": rows.where("id >= 15")}, "id")
+    b = Budget({"calls": 2, "seconds": 10})
+    b.spend(calls=1, seconds=4)
+    with pytest.raises(RuntimeError):
+        b.spend(calls=1, seconds=7)
+    assert b.used == {"calls": 1, "seconds": 4}
+
+
+def test_baselines_and_refinement(spark):
+    from braid.plans.protocol import RawRidge, random_features, refine
+
+    rows = [(float(i), float("nan") if i % 5 == 0 else float(i % 7), 2.0 * i) for i in range(60)]
+    df = spark.createDataFrame(rows, "a double, b double, y double")
+    done = RawRidge.fit(df, ["a", "b"], "y").predict(df)
+    assert done.agg(scoring.variance_explained(F.col("y"), F.col("prediction")).alias("v")).first().v > 0.99
+    wide, names = random_features(df, ["a", "b"], 8)
+    assert len(names) == 8 and wide.select(*names).dropna().count() == 60
+    values, loss = refine({"g": [0.0, 1.0]}, lambda v: (v["g"][0] - 0.15) ** 2 + (v["g"][1] - 1) ** 2, steps=6)
+    assert loss < 0.15**2 and values["g"][1] == 1.0
