@@ -72,3 +72,45 @@ SELECT page_id, payload_bytes,
   CASE WHEN page_id <> last THEN last END AS refers_to
 FROM d
 """
+
+
+def _quality_sql() -> str:
+    from .quality import RULES
+
+    tries = len(next(iter(RULES.values()))[2])
+    value = lambda r: f"CASE WHEN {RULES[r][1]} > 0 THEN {RULES[r][0]} / {RULES[r][1]} ELSE 0 END"
+    grid = ", ".join(f"('{r}', {j}, {c}::DOUBLE)" for r, (_, _, cuts) in RULES.items() for j, c in enumerate(cuts))
+    measures = " UNION ALL ".join(f"SELECT doc_id, lang, good, '{r}' AS rule, {value(r)} AS v FROM labelled" for r in RULES)
+    above = " OR ".join(f"coalesce({value(r)} > c.cut_{r}, false)" for r in RULES)
+    cuts = ", ".join(f"max(cut) FILTER (WHERE rule = '{r}') AS cut_{r}" for r in RULES)
+    rate = 0.05 / len(RULES)
+    return rf"""
+WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, lang, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines FROM d),
+windows AS (SELECT doc_id, i, array_to_string(w[i + 1 : i + 5], ' ') AS g FROM (SELECT doc_id, w, unnest(range(greatest(len(w) - 4, 0))) AS i FROM w)),
+twice AS (SELECT doc_id, g FROM windows GROUP BY doc_id, g HAVING count(*) > 1),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, i + unnest(range(5)) AS p FROM windows SEMI JOIN twice USING (doc_id, g)) GROUP BY doc_id),
+m AS (
+  SELECT doc_id, lang, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
+    length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, len(lines)::BIGINT AS n_lines, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+    len(regexp_extract_all(t, '\p{{Lu}}{{3,}}'))::BIGINT AS n_capital_words, coalesce(covered.n, 0)::BIGINT AS n_repeat_words
+  FROM w LEFT JOIN covered USING (doc_id)),
+good AS (SELECT doc_id, max(quality) > 0 AS good FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
+labelled AS (SELECT * FROM m JOIN good USING (doc_id)),
+v AS ({measures}),
+grid(rule, j, cut) AS (VALUES {grid}),
+strata AS (SELECT count(DISTINCT coalesce(lang, chr(0))) AS s FROM labelled),
+tests AS (
+  SELECT lang, v.rule, j, cut, count(*) FILTER (WHERE good) AS n, count(*) FILTER (WHERE good AND v > cut) AS k, count(*) FILTER (WHERE NOT good AND v > cut) AS b
+  FROM v JOIN grid ON v.rule = grid.rule GROUP BY lang, v.rule, j, cut),
+passed AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, rule ORDER BY b DESC, j) AS place FROM tests, strata
+  WHERE b > 0 AND k < n * {rate} AND list_sum(list_transform(range(k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({rate}) + (n - i) * ln(1 - {rate})))) <= 0.05 / {len(RULES) * tries} / s),
+c AS (SELECT lang, {cuts} FROM passed WHERE place = 1 GROUP BY lang)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND NOT ({above}) AS kept
+FROM m LEFT JOIN c ON m.lang IS NOT DISTINCT FROM c.lang
+"""
+
+
+ORACLES["op10_quality_rules"] = _quality_sql()
