@@ -23,7 +23,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .components import components
 from .tables import fresh_names, written
@@ -31,8 +30,10 @@ from .textkernel import Words, mix, prefix_sums, range_hash, words_of
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
-BANDS, ROWS = 30, 5  # of texts at similarity 0.8, one pair in 150,000 shares no band
-SMALL_BUCKET = 48
+BANDS, ROWS = 48, 7  # of texts at similarity 0.8, one pair in 80,000 shares no band
+SPREAD = 3.5  # standard errors of the registers' estimate below which a pair is not compared
+BLOCK_MEMBERS = 1024
+FINE = 4096  # registers, of one bit each, that compare members of one bucket
 
 
 def shingles(words: Words, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -76,13 +77,24 @@ def prob_minhash(doc: np.ndarray, value: np.ndarray, weight: np.ndarray, n_docs:
     return holder.reshape(n_docs, m)
 
 
+def registers_of(doc: np.ndarray, value: np.ndarray, weight: np.ndarray, n_docs: int, m: int) -> np.ndarray:
+    """:func:`prob_minhash` of texts sorted by place, a bounded number of registers at a time."""
+    step = max(1, (1 << 19) // m)
+    out = np.empty((n_docs, m), dtype=np.uint64)
+    for at in range(0, n_docs, step):
+        to = min(at + step, n_docs)
+        a, b = np.searchsorted(doc, (at, to))
+        out[at:to] = prob_minhash(doc[a:b] - at, value[a:b], weight[a:b].astype(np.float64), to - at, m)
+    return out
+
+
 def band_keys(registers: np.ndarray, bands: int, rows: int) -> np.ndarray:
     odd = mix(np.arange(1, rows + 1, dtype=np.uint64)) | np.uint64(1)
     return mix((registers.reshape(-1, bands, rows) * odd).sum(axis=2, dtype=np.uint64) + np.arange(bands, dtype=np.uint64))
 
 
 def _sketch(size: int, bands: int, rows: int):
-    """(node, text) to (node, keys): the text's bucket in each band."""
+    """(node, text) to (node, keys, low): the text's bucket in each band, and the low halves of these, packed."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -92,10 +104,24 @@ def _sketch(size: int, bands: int, rows: int):
                 if not len(some):
                     continue
                 local = np.searchsorted(some, doc)
-                keys = band_keys(prob_minhash(local, value, weight.astype(np.float64), len(some), bands * rows), bands, rows)
-                flat = pa.array(keys.ravel().view(np.int64))
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * bands), flat)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(some + at)), lists], ["node", "keys"])
+                keys = band_keys(registers_of(local, value, weight, len(some), bands * rows), bands, rows)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * bands), pa.array(keys.ravel().view(np.int64)))
+                low = pa.array([row.tobytes() for row in keys.astype("<u4")], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(some + at)), lists, low], ["node", "keys", "low"])
+
+    return work
+
+
+def _bits(size: int):
+    """(node, text) to (node, marks): a bit of each of FINE registers. Two texts differ in half of the bits where their registers differ."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, to, words in words_of(batch.column(1)):
+                doc, value, weight = shingles(words, size)
+                registers = registers_of(doc, value, weight, to - at, FINE)
+                packed = np.packbits((registers & np.uint64(1)).astype(np.uint8), axis=1)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), pa.array([row.tobytes() for row in packed], pa.binary())], ["node", "marks"])
 
     return work
 
@@ -132,40 +158,83 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, similarity: float)
     return joined.mapInArrow(_verify(size, similarity), "u binary, v binary")
 
 
-def _shingle_rows(size: int):
-    """(key, node, component, text) to a row for each shingle, with the text's number of shingles."""
+def _whole_groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Sorted rows as tables of whole groups, with the groups' bounds; a group stays in memory until its end."""
+    held: list[pa.RecordBatch] = []
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at, _, words in words_of(batch.column(3)):
-                doc, value, _ = shingles(words, size)
-                rows = pa.array(doc + at)
-                many = np.bincount(doc, minlength=words.n_docs)[doc]
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).take(rows) for i in range(3)), pa.array(value.view(np.int64)), pa.array(many)], ["key", "node", "component", "shingle", "many"])
+    def cut(table: pa.Table) -> np.ndarray:
+        new = np.zeros(table.num_rows, dtype=bool)
+        new[:1] = True
+        for name in names:
+            own = table.column(name).to_numpy()
+            new[1:] |= own[1:] != own[:-1]
+        return np.flatnonzero(new)
 
-    return work
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([*held, batch])
+        heads = cut(table)
+        if len(heads) > 1:
+            yield table.slice(0, heads[-1]), heads
+        held = table.slice(heads[-1]).to_batches()
+    if held:
+        table = pa.Table.from_batches(held)
+        yield table, np.append(cut(table), table.num_rows)
 
 
-def _across(members: DataFrame, *on: str) -> DataFrame:
-    """The pairs of members of one bucket that are in different components."""
-    a = members.select(*on, F.col("node").alias("u"), F.col("component").alias("cu"))
-    b = members.select(*on, F.col("node").alias("v"), F.col("component").alias("cv"))
-    return a.join(b, list(on)).where("cu < cv").select(F.least("u", "v").alias("v"), F.greatest("u", "v").alias("u")).select("u", "v").distinct()
+def _alike(least: float):
+    """Members of buckets, in blocks, to the pairs of different components whose marks agree in the part ``least`` of their registers.
 
+    A pair comes out of one bucket only: that of the first band that its texts share.
+    """
+    most = int((1 - least) / 2 * FINE)
 
-def _rest(buckets: DataFrame, linked: DataFrame, texts: DataFrame, tried: DataFrame, size: int, similarity: float, small: int) -> DataFrame:
-    """Links inside buckets that hold several components; none are lost by the bucket's size."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, bounds in _whole_groups(batches, ["key", "i", "j"]):
+            block, i, j, component = (table.column(c).to_numpy() for c in ("block", "i", "j", "component"))
+            marks = np.frombuffer(b"".join(table.column("marks").to_pylist()), dtype=np.uint64).reshape(len(block), FINE // 64)
+            low = np.frombuffer(b"".join(table.column("low").to_pylist()), dtype="<u4").reshape(len(block), -1)
+            own = table.column("key").to_numpy().view(np.uint64).astype(np.uint32)
+            left, right = [], []
+            for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                same = i[a] == j[a]
+                x = np.arange(a, b) if same else a + np.flatnonzero(block[a:b] == i[a])
+                y = x if same else a + np.flatnonzero(block[a:b] == j[a])
+                step = max(1, (1 << 19) // max(1, len(y) * FINE // 64))
+                for at in range(0, len(x), step):
+                    some = x[at : at + step]
+                    differ = np.bitwise_count(marks[some][:, None, :] ^ marks[y][None, :, :]).sum(axis=2, dtype=np.int32)
+                    ok = (differ <= most) & (component[some][:, None] != component[y][None, :])
+                    if same:
+                        ok &= some[:, None] < y[None, :]
+                    p, q = np.nonzero(ok)
+                    p, q = some[p], y[q]
+                    band = (low[p] == low[q]).argmax(axis=1)
+                    here = low[p, band] == own[a]
+                    left += p[here].tolist()
+                    right += q[here].tolist()
+            node = table.column("node").combine_chunks()
+            yield pa.RecordBatch.from_arrays([node.take(pa.array(left, pa.int64())), node.take(pa.array(right, pa.int64()))], ["u", "v"])
+
+    return work
+
+
+def _rest(buckets: DataFrame, sketches: DataFrame, linked: DataFrame, texts: DataFrame, tried: DataFrame, size: int, similarity: float, block: int) -> DataFrame:
+    """Links inside buckets that hold several components, whatever the bucket's size."""
     member = buckets.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = member.groupBy("key").agg(F.count("*").alias("members"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key", "members")
+    mixed = member.groupBy("key").agg(F.count("*").alias("members"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key", F.ceil(F.col("members") / block).cast("int").alias("blocks"))
     left = written(member.join(mixed, "key"), "mixed-buckets")
-    pairs = _across(left.where(F.col("members") <= small), "key")
-    large = left.where(F.col("members") > small).select("key", "node", "component")
-    rows = large.join(texts, "node").select("key", "node", "component", "text").mapInArrow(_shingle_rows(size), "key long, node binary, component binary, shingle long, many long")
-    common = rows.groupBy("key", "shingle").agg(F.count("*").alias("holders"))
-    ranked = rows.join(common, ["key", "shingle"]).withColumn("rank", F.row_number().over(Window.partitionBy("key", "node").orderBy("holders", "shingle")))
-    # two sets of similarity s share a shingle among the first (1 - s) n + 1 in any common order
-    prefix = ranked.where((F.col("holders") > 1) & (F.col("rank") <= F.col("many") - F.ceil(F.col("many") * F.lit(similarity) - 1e-9) + 1))
-    pairs = pairs.union(_across(prefix, "key", "shingle")).distinct()
+    marks = texts.join(left.select("node").distinct(), "node", "left_semi").select("node", "text").mapInArrow(_bits(size), "node binary, marks binary")
+    low = sketches.select("node", "low").join(left.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    dealt = left.join(marks, "node").join(low, "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
+    n = int(buckets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = dealt.select("key", "i", "j", "block", "node", F.xxhash64("component").alias("component"), "marks", "low").repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j")
+    agree = (1 + similarity) / 2  # the chance that a bit of two texts at the threshold is equal
+    least = similarity - SPREAD * 2 * (agree * (1 - agree) / FINE) ** 0.5
+    alike = dealt.mapInArrow(_alike(least), "u binary, v binary")
+    pairs = alike.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     return _verified(pairs.join(tried, ["u", "v"], "left_anti"), texts, size, similarity)
 
 
@@ -177,7 +246,7 @@ def near_duplicates(
     similarity: float = SIMILARITY,
     bands: int = BANDS,
     rows: int = ROWS,
-    small_bucket: int = SMALL_BUCKET,
+    block_members: int = BLOCK_MEMBERS,
 ) -> DataFrame:
     """``docs`` with column ``class_id``: the least id of the texts linked to the row's text, over any number of links.
 
@@ -187,13 +256,28 @@ def near_duplicates(
     null ids has a null ``class_id``. Repeated rows are kept, in one class. Other columns
     pass through; if ``class_id`` is taken, the new column is ``_class_id``.
     """
-    node, name = fresh_names(docs, "braid_node", "class_id")
+    classed, _, component = _classed(docs, id_col, text_col, shingle_words, similarity, bands, rows, block_members)
+    return classed.drop(component)
+
+
+def _classed(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    shingle_words: int = SHINGLE_WORDS,
+    similarity: float = SIMILARITY,
+    bands: int = BANDS,
+    rows: int = ROWS,
+    block_members: int = BLOCK_MEMBERS,
+) -> tuple[DataFrame, str, str]:
+    """``docs`` with the class id and the component, and these columns' names."""
+    node, name, component = fresh_names(docs, "braid_node", "class_id", "braid_component")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     keyed = docs.withColumn(node, F.unhex(F.md5(text)))
     plain = keyed.select(F.col(node).alias("node"), F.col(id_col).alias("id"), text.alias("text"))
     nodes = plain.groupBy("node").agg(F.min("id").alias("id"))
 
-    sketches = plain.select("node", "text").mapInArrow(_sketch(shingle_words, bands, rows), f"node binary, keys array<long>")
+    sketches = written(plain.select("node", "text").mapInArrow(_sketch(shingle_words, bands, rows), "node binary, keys array<long>, low binary"), "sketches")
     entries = sketches.select("node", F.explode("keys").alias("key"))
     # copies have equal sketches: the first aggregate takes them together
     buckets = entries.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("key", "least")
@@ -206,20 +290,19 @@ def near_duplicates(
 
     edges = written(_verified(pairs, texts, shingle_words, similarity), "links")
     linked = components(edges)
-    more = written(_rest(members.select("key", "node"), linked, texts, pairs, shingle_words, similarity, small_bucket), "links")
+    more = written(_rest(members.select("key", "node"), sketches, linked, texts, pairs, shingle_words, similarity, block_members), "links")
     if not more.isEmpty():
         linked = components(edges.union(more))
     linked = nodes.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = linked.groupBy("component").agg(F.min("id").alias("class"))
-    classes = linked.select("node", "component").join(least, "component").select(F.col("node").alias(node), F.col("class").alias(name))
-    return keyed.join(classes, node).drop(node)
+    classes = linked.select("node", "component").join(least, "component").select(F.col("node").alias(node), F.col("class").alias(name), F.col("component").alias(component))
+    return keyed.join(classes, node).drop(node), name, component
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """One row of each class of :func:`near_duplicates`: that with the least id (of equal rows, one; of a class of null ids, one). The columns are those of ``docs``."""
-    classed = near_duplicates(docs, id_col, text_col, **how)
-    name = classed.columns[-1]
+    classed, name, component = _classed(docs, id_col, text_col, **how)
     stays = classed.where(F.col(id_col).eqNullSafe(F.col(name)))
-    if stays.groupBy(name).count().where("count > 1").isEmpty():
-        return stays.drop(name)
-    return stays.dropDuplicates([name]).drop(name)
+    if not stays.groupBy(component).count().where("count > 1").isEmpty():
+        stays = stays.dropDuplicates([component])
+    return stays.drop(name, component)
