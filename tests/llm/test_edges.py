@@ -127,6 +127,12 @@ def test_near_duplicates(docs):
     assert kept.count() == len(set(roots))
 
 
+def test_near_dedup_of_null_and_shared_ids(spark):
+    texts = [(None, words(0, 30)), (None, words(100, 30)), (7, words(200, 30)), (7, words(300, 30)), (7, words(300, 30))]
+    kept = near_dedup(spark.createDataFrame(texts, "doc_id long, text string"))
+    assert Counter(map(tuple, kept.collect())) == Counter(set(texts))
+
+
 def test_near_duplicates_in_mixed_buckets(spark):
     """A chain: neighbours are similar, ends are not; and texts that share a long passage but differ."""
     base = words(0, 150).split()
