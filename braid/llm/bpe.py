@@ -255,3 +255,14 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", offsets: bool = F
 def decode(docs: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
     """``docs`` with ``decoded``: the bytes that the packed ids stand for (null for null). Cast to string to read characters."""
     return _with(docs, F.col(ids_col), _decode(path), [("decoded", "binary")])
+
+
+def round_trip(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
+    """``docs`` with ``n_tokens``, ``ids`` and ``decoded``: :func:`encode`, then :func:`decode` of its ids, in one worker that holds a slice of texts at a time."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _encode(path, False)(batches):
+            for own in _decode(path)(iter([batch])):
+                yield pa.RecordBatch.from_arrays([*batch.columns, own.column(own.num_columns - 1)], [*batch.schema.names, "decoded"])
+
+    return _with(docs, F.coalesce(F.col(text_col).cast("string"), F.lit("")), work, [("n_tokens", "long"), ("ids", "binary"), ("decoded", "binary")])

@@ -58,8 +58,7 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str, vocabulary: str = "byte_bpe_m
     import public_tokenizers
 
     path = public_tokenizers.path(vocabulary)
-    ids = bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), path).drop("text")
-    done = bpe.decode(ids, path)
+    done = bpe.round_trip(_table(spark, sf_dir, "documents").select("doc_id", "text"), path)
     return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

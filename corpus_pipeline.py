@@ -50,8 +50,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path(VOCABULARY)
-    ids = bpe.encode(docs.select("doc_id", "source", "text"), path)
-    done = bpe.decode(ids, path)
+    done = bpe.round_trip(docs.select("doc_id", "source", "text"), path)
     same = F.coalesce(F.col("text"), F.lit("")).cast("binary") == F.col("decoded")
     return done.select("doc_id", "source", "n_tokens", "ids", same.alias("round_trip"))
 
