@@ -10,9 +10,11 @@ probability Jaccard similarity of their weights.
 
 Texts that agree in all registers of a band meet in a bucket. A bucket links its
 members to its least member only, never all to all, and each link is verified by
-the Jaccard similarity of the two shingle sets. Buckets that still hold more than
-one component are searched to the end: small ones by their pairs across components,
-large ones by prefix filtering on each bucket's rarest shingles, which is exact.
+the Jaccard similarity of the two shingle sets. In buckets that still hold more than
+one component every pair across components is compared, block by block: texts of few
+shingles by their shingles, which is exact, others by one bit of each of many
+registers, which passes a pair at the threshold over if its estimate is ``SPREAD``
+standard errors low. What passes is verified like the links.
 """
 
 from __future__ import annotations
@@ -31,9 +33,10 @@ from .textkernel import Words, mix, prefix_sums, range_hash, words_of
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 48, 7  # of texts at similarity 0.8, one pair in 80,000 shares no band
-SPREAD = 3.5  # standard errors of the registers' estimate below which a pair is not compared
+SPREAD = 5.0  # standard errors of the registers' estimate below which a pair is not compared
 BLOCK_MEMBERS = 1024
 FINE = 4096  # registers, of one bit each, that compare members of one bucket
+FEW = 80  # shingles up to which two members of one bucket are compared by all of them
 
 
 def shingles(words: Words, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -113,15 +116,22 @@ def _sketch(size: int, bands: int, rows: int):
 
 
 def _bits(size: int):
-    """(node, text) to (node, marks): a bit of each of FINE registers. Two texts differ in half of the bits where their registers differ."""
+    """(node, text) to (node, marks, few): a bit of each of FINE registers, and the shingles if they are few.
+
+    A bit is of its register's holder and place together, so it is drawn anew for each
+    register: two texts differ in half of the bits where their registers differ.
+    """
+    lane = mix(np.arange(1, FINE + 1, dtype=np.uint64))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, to, words in words_of(batch.column(1)):
                 doc, value, weight = shingles(words, size)
                 registers = registers_of(doc, value, weight, to - at, FINE)
-                packed = np.packbits((registers & np.uint64(1)).astype(np.uint8), axis=1)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), pa.array([row.tobytes() for row in packed], pa.binary())], ["node", "marks"])
+                packed = np.packbits((mix(registers + lane) & np.uint64(1)).astype(np.uint8), axis=1)
+                ends = np.searchsorted(doc, np.arange(to - at + 1)).tolist()
+                few = [value[a:b].tobytes() if b - a <= FEW else None for a, b in zip(ends[:-1], ends[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), pa.array([row.tobytes() for row in packed], pa.binary()), pa.array(few, pa.binary())], ["node", "marks", "few"])
 
     return work
 
@@ -183,10 +193,35 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterat
         yield table, np.append(cut(table), table.num_rows)
 
 
-def _alike(least: float):
-    """Members of buckets, in blocks, to the pairs of different components whose marks agree in the part ``least`` of their registers.
+def _in_common(sets: list[np.ndarray], x: np.ndarray, y: np.ndarray, same: bool) -> np.ndarray:
+    """How many elements each of the sets ``x`` shares with each other one of the sets ``y``."""
+
+    def held(value: np.ndarray, row: np.ndarray, n: int, part: np.ndarray) -> np.ndarray:
+        place = np.minimum(np.searchsorted(part, value), len(part) - 1)
+        hit = part[place] == value
+        out = np.zeros((n, len(part)), dtype=np.float32)
+        out[row[hit], place[hit]] = 1
+        return out
+
+    def flat(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return np.concatenate([sets[i] for i in at]), np.repeat(np.arange(len(at)), [len(sets[i]) for i in at])
+
+    (u, left), (v, right) = flat(x), flat(y)
+    found, times = np.unique(v, return_counts=True)
+    both = found[times > 1] if same else np.intersect1d(u, found)
+    out = np.zeros((len(x), len(y)), dtype=np.float32)
+    for at in range(0, len(both), 2048):
+        part = both[at : at + 2048]
+        out += held(u, left, len(x), part) @ held(v, right, len(y), part).T
+    return out
+
+
+def _alike(least: float, similarity: float):
+    """Members of buckets, in blocks, to the pairs of different components that are similar.
 
-    A pair comes out of one bucket only: that of the first band that its texts share.
+    Two texts of few shingles are compared by these; others are taken for similar if their
+    marks agree in the part ``least`` of their registers. A pair comes out of one bucket
+    only: that of the first band that its texts share.
     """
     most = int((1 - least) / 2 * FINE)
 
@@ -196,16 +231,27 @@ def _alike(least: float):
             marks = np.frombuffer(b"".join(table.column("marks").to_pylist()), dtype=np.uint64).reshape(len(block), FINE // 64)
             low = np.frombuffer(b"".join(table.column("low").to_pylist()), dtype="<u4").reshape(len(block), -1)
             own = table.column("key").to_numpy().view(np.uint64).astype(np.uint32)
+            few = table.column("few").to_pylist()
+            short = np.array([b is not None for b in few])
+            sets = [np.frombuffer(b or b"", dtype=np.uint64) for b in few]
+            size = np.array([len(b) for b in sets])
             left, right = [], []
             for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                 same = i[a] == j[a]
                 x = np.arange(a, b) if same else a + np.flatnonzero(block[a:b] == i[a])
                 y = x if same else a + np.flatnonzero(block[a:b] == j[a])
+                exact = short[x].any() and short[y].any()
+                common = _in_common(sets, x, y, same) if exact else None
                 step = max(1, (1 << 19) // max(1, len(y) * FINE // 64))
                 for at in range(0, len(x), step):
                     some = x[at : at + step]
                     differ = np.bitwise_count(marks[some][:, None, :] ^ marks[y][None, :, :]).sum(axis=2, dtype=np.int32)
-                    ok = (differ <= most) & (component[some][:, None] != component[y][None, :])
+                    ok = differ <= most
+                    if exact:
+                        both = common[at : at + step].astype(np.int64)
+                        near = both / np.maximum(size[some][:, None] + size[y][None, :] - both, 1) >= similarity
+                        ok = np.where(short[some][:, None] & short[y][None, :], near, ok)
+                    ok &= component[some][:, None] != component[y][None, :]
                     if same:
                         ok &= some[:, None] < y[None, :]
                     p, q = np.nonzero(ok)
@@ -225,15 +271,15 @@ def _rest(buckets: DataFrame, sketches: DataFrame, linked: DataFrame, texts: Dat
     member = buckets.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = member.groupBy("key").agg(F.count("*").alias("members"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key", F.ceil(F.col("members") / block).cast("int").alias("blocks"))
     left = written(member.join(mixed, "key"), "mixed-buckets")
-    marks = texts.join(left.select("node").distinct(), "node", "left_semi").select("node", "text").mapInArrow(_bits(size), "node binary, marks binary")
+    marks = texts.join(left.select("node").distinct(), "node", "left_semi").select("node", "text").mapInArrow(_bits(size), "node binary, marks binary, few binary")
     low = sketches.select("node", "low").join(left.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
     dealt = left.join(marks, "node").join(low, "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
     n = int(buckets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = dealt.select("key", "i", "j", "block", "node", F.xxhash64("component").alias("component"), "marks", "low").repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j")
+    dealt = dealt.select("key", "i", "j", "block", "node", F.xxhash64("component").alias("component"), "marks", "few", "low").repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j")
     agree = (1 + similarity) / 2  # the chance that a bit of two texts at the threshold is equal
     least = similarity - SPREAD * 2 * (agree * (1 - agree) / FINE) ** 0.5
-    alike = dealt.mapInArrow(_alike(least), "u binary, v binary")
+    alike = dealt.mapInArrow(_alike(least, similarity), "u binary, v binary")
     pairs = alike.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     return _verified(pairs.join(tried, ["u", "v"], "left_anti"), texts, size, similarity)
 

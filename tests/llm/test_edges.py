@@ -148,6 +148,25 @@ def test_near_duplicates_in_mixed_buckets(spark):
     assert [got[i] for i in range(len(texts))] == brute_classes(texts)
 
 
+def in_families(spark, families, **how):
+    """The classes of texts whose families share no words, against brute force."""
+    df = spark.createDataFrame([(1000 * f + i, t) for f, texts in enumerate(families) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in near_duplicates(df, **how).collect()}
+    for f, texts in enumerate(families):
+        assert [got[1000 * f + i] for i in range(len(texts))] == [1000 * f + c for c in brute_classes(texts)]
+
+
+def test_near_duplicates_of_short_texts_in_mixed_buckets(spark):
+    """Pairs at similarity 0.8 of 4 and 8 common shingles; buckets of one register mix them with texts that share the passage only."""
+    families = []
+    for f in range(60):
+        n = 12 if f % 2 else 8
+        base = words(100 * f, n)
+        pair = [base + " left", base + " right"] if f % 2 else [base, base + " more"]
+        families.append([*pair, *(base + " " + words(100_000 + 1000 * f + 10 * k, 5) for k in range(20))])
+    in_families(spark, families, bands=5, rows=1)
+
+
 def test_mix(docs):
     given = rows()
     mixed = plan_mix(docs, block_words=64)
