@@ -6,7 +6,9 @@ arrivals whose rate is its weight, on a clock that depends on the shingle alone;
 arrival hits a random register, which keeps its first. A shingle's process ends
 once its next arrival is later than every register's, so the work is near the
 number of shingles plus m log m. Two texts agree in a register with the
-probability Jaccard similarity of their weights.
+probability Jaccard similarity of their weights. A text that repeats a shingle has a
+second sketch in which every weight is 1, as the first one is for other texts, so that texts
+that differ in repeats alone meet by the similarity of their sets.
 
 Texts that agree in all registers of a band meet in a bucket. A bucket links its
 members to its least member only, never all to all, and each link is verified by
@@ -97,7 +99,10 @@ def band_keys(registers: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def _sketch(size: int, bands: int, rows: int):
-    """(node, text) to (node, keys, low): the text's bucket in each band, and the low halves of these, packed."""
+    """(node, text) to (node, keys, low): the text's bucket in each band, and the low halves of these, packed.
+
+    A text that repeats a shingle has two buckets in each band, of both its sketches; those of weights 1 come first.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -107,9 +112,15 @@ def _sketch(size: int, bands: int, rows: int):
                 if not len(some):
                     continue
                 local = np.searchsorted(some, doc)
-                keys = band_keys(registers_of(local, value, weight, len(some), bands * rows), bands, rows)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * bands), pa.array(keys.ravel().view(np.int64)))
-                low = pa.array([row.tobytes() for row in keys.astype("<u4")], pa.binary())
+                once = band_keys(registers_of(local, value, np.ones(len(value)), len(some), bands * rows), bands, rows)
+                again = np.unique(local[weight > 1])
+                own = np.isin(local, again)
+                by_count = band_keys(registers_of(np.searchsorted(again, local[own]), value[own], weight[own], len(again), bands * rows), bands, rows)
+                order = np.argsort(np.append(np.arange(len(some)), again), kind="stable")
+                keys = np.concatenate((once, by_count))[order]
+                ends = np.append(0, np.cumsum(1 + np.isin(np.arange(len(some)), again)))
+                lists = pa.ListArray.from_arrays(pa.array((ends * bands).astype(np.int32)), pa.array(keys.ravel().view(np.int64)))
+                low = pa.array([keys[a:b].astype("<u4").tobytes() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(some + at)), lists, low], ["node", "keys", "low"])
 
     return work
@@ -118,16 +129,17 @@ def _sketch(size: int, bands: int, rows: int):
 def _bits(size: int):
     """(node, text) to (node, marks, few): a bit of each of FINE registers, and the shingles if they are few.
 
-    A bit is of its register's holder and place together, so it is drawn anew for each
-    register: two texts differ in half of the bits where their registers differ.
+    All weights are 1, as pairs are verified by their sets. A bit is of its register's
+    holder and place together, so it is drawn anew for each register: two texts differ in
+    half of the bits where their registers differ.
     """
     lane = mix(np.arange(1, FINE + 1, dtype=np.uint64))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, to, words in words_of(batch.column(1)):
-                doc, value, weight = shingles(words, size)
-                registers = registers_of(doc, value, weight, to - at, FINE)
+                doc, value, _ = shingles(words, size)
+                registers = registers_of(doc, value, np.ones(len(value)), to - at, FINE)
                 packed = np.packbits((mix(registers + lane) & np.uint64(1)).astype(np.uint8), axis=1)
                 ends = np.searchsorted(doc, np.arange(to - at + 1)).tolist()
                 few = [value[a:b].tobytes() if b - a <= FEW else None for a, b in zip(ends[:-1], ends[1:], strict=True)]
@@ -216,7 +228,16 @@ def _in_common(sets: list[np.ndarray], x: np.ndarray, y: np.ndarray, same: bool)
     return out
 
 
-def _alike(least: float, similarity: float):
+def _first_shared(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """The low half of a bucket in the first band that each pair of texts shares, by any of their sketches; (pair, sketch, band) each."""
+    equal = p[:, :, None, :] == q[:, None, :, :]
+    band = equal.any(axis=(1, 2)).argmax(axis=1)
+    row = np.arange(len(p))
+    shared = equal[row, :, :, band].any(axis=2)
+    return np.where(shared, p[row, :, band], np.uint32(0xFFFFFFFF)).min(axis=1)
+
+
+def _alike(least: float, similarity: float, bands: int):
     """Members of buckets, in blocks, to the pairs of different components that are similar.
 
     Two texts of few shingles are compared by these; others are taken for similar if their
@@ -229,7 +250,8 @@ def _alike(least: float, similarity: float):
         for table, bounds in _whole_groups(batches, ["key", "i", "j"]):
             block, i, j, component = (table.column(c).to_numpy() for c in ("block", "i", "j", "component"))
             marks = np.frombuffer(b"".join(table.column("marks").to_pylist()), dtype=np.uint64).reshape(len(block), FINE // 64)
-            low = np.frombuffer(b"".join(table.column("low").to_pylist()), dtype="<u4").reshape(len(block), -1)
+            # the two sketches of a text without repeats are one
+            low = np.frombuffer(b"".join(b if len(b) == 8 * bands else b + b for b in table.column("low").to_pylist()), dtype="<u4").reshape(-1, 2, bands)
             own = table.column("key").to_numpy().view(np.uint64).astype(np.uint32)
             few = table.column("few").to_pylist()
             short = np.array([b is not None for b in few])
@@ -256,8 +278,7 @@ def _alike(least: float, similarity: float):
                         ok &= some[:, None] < y[None, :]
                     p, q = np.nonzero(ok)
                     p, q = some[p], y[q]
-                    band = (low[p] == low[q]).argmax(axis=1)
-                    here = low[p, band] == own[a]
+                    here = _first_shared(low[p], low[q]) == own[a]
                     left += p[here].tolist()
                     right += q[here].tolist()
             node = table.column("node").combine_chunks()
@@ -266,7 +287,7 @@ def _alike(least: float, similarity: float):
     return work
 
 
-def _rest(buckets: DataFrame, sketches: DataFrame, linked: DataFrame, texts: DataFrame, tried: DataFrame, size: int, similarity: float, block: int) -> DataFrame:
+def _rest(buckets: DataFrame, sketches: DataFrame, linked: DataFrame, texts: DataFrame, tried: DataFrame, size: int, similarity: float, bands: int, block: int) -> DataFrame:
     """Links inside buckets that hold several components, whatever the bucket's size."""
     member = buckets.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = member.groupBy("key").agg(F.count("*").alias("members"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key", F.ceil(F.col("members") / block).cast("int").alias("blocks"))
@@ -279,7 +300,7 @@ def _rest(buckets: DataFrame, sketches: DataFrame, linked: DataFrame, texts: Dat
     dealt = dealt.select("key", "i", "j", "block", "node", F.xxhash64("component").alias("component"), "marks", "few", "low").repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j")
     agree = (1 + similarity) / 2  # the chance that a bit of two texts at the threshold is equal
     least = similarity - SPREAD * 2 * (agree * (1 - agree) / FINE) ** 0.5
-    alike = dealt.mapInArrow(_alike(least, similarity), "u binary, v binary")
+    alike = dealt.mapInArrow(_alike(least, similarity, bands), "u binary, v binary")
     pairs = alike.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     return _verified(pairs.join(tried, ["u", "v"], "left_anti"), texts, size, similarity)
 
@@ -336,7 +357,7 @@ def _classed(
 
     edges = written(_verified(pairs, texts, shingle_words, similarity), "links")
     linked = components(edges)
-    more = written(_rest(members.select("key", "node"), sketches, linked, texts, pairs, shingle_words, similarity, block_members), "links")
+    more = written(_rest(members.select("key", "node"), sketches, linked, texts, pairs, shingle_words, similarity, bands, block_members), "links")
     if not more.isEmpty():
         linked = components(edges.union(more))
     linked = nodes.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))

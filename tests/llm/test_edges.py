@@ -167,6 +167,15 @@ def test_near_duplicates_of_short_texts_in_mixed_buckets(spark):
     in_families(spark, families, bands=5, rows=1)
 
 
+def test_near_duplicates_that_differ_in_repeats(spark):
+    """A line once, and many times: the sets of shingles are alike, their counts are not."""
+    families = []
+    for f in range(8):
+        body, line = words(1000 * f, 200), words(1000 * f + 500, 12)
+        families.append([f"{body} {line}", body + f" {line}" * 40, body + f" {line}" * 90, words(1000 * f, 120) + " " + words(1000 * f + 700, 60)])
+    in_families(spark, families)
+
+
 def test_mix(docs):
     given = rows()
     mixed = plan_mix(docs, block_words=64)
