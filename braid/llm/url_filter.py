@@ -2,7 +2,9 @@
 
 Every host has a tree of path segments. Going down level by level,
 
-* a segment that is rare among many siblings is variable and becomes ``*``;
+* a segment that is rare among many siblings is variable and becomes ``*``, unless its
+  labels differ from its siblings' beyond chance (a likelihood ratio that allows for the
+  number of siblings, as most rare segments have few labels);
 * a sibling whose labels and whose continuations do not differ from those of its
   siblings together (a two-sided test of the bad rate, and the Hellinger distance of
   the shapes of what follows) is merged into ``*`` too;
@@ -49,12 +51,19 @@ def _shape(segment: Column) -> Column:
     return F.substring(short, 1, 8)
 
 
+def _log_likelihood(bad: Column | str, seen: Column | str) -> Column:
+    """Of ``bad`` among ``seen`` labels, at their own rate."""
+    bad, seen = (F.col(c) if isinstance(c, str) else c for c in (bad, seen))
+    part = lambda k: F.when(k > 0, k * F.log(k / seen)).otherwise(F.lit(0.0))
+    return part(bad) + part(seen - bad)
+
+
 def templates(urls: DataFrame, depth: int = 4, many: int = 8, rare: float = 0.05, similar: float = 0.2, z: float = 2.58) -> DataFrame:
     """(host, path, bad) to (host, path, template), one row for each different host and path.
 
     ``bad`` is 1, 0 or null for unlabelled. Segments below ``depth`` are one ``**``. A
-    segment is variable if its node has more than ``many`` different segments and it
-    holds less than the part ``rare`` of the node's pages.
+    segment is variable if its node has more than ``many`` different segments, it holds
+    less than the part ``rare`` of the node's pages and its labels do not tell it apart.
     """
     segments = F.filter(F.split("path", "/"), lambda s: s != "")
     rows = urls.groupBy("host", "path").agg(F.count("*").alias("n"), F.count("bad").alias("seen"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
@@ -76,7 +85,9 @@ def templates(urls: DataFrame, depth: int = 4, many: int = 8, rare: float = 0.05
         pooled = F.when(F.col("all_seen") > 0, F.col("all_bad") / F.col("all_seen")).otherwise(F.lit(0.0))
         noise = F.sqrt(pooled * (1 - pooled) * (F.when(F.col("seen") > 0, 1 / F.col("seen")).otherwise(0.0) + F.when(others > 0, 1 / others).otherwise(0.0)))
         gap = F.when((F.col("seen") > 0) & (others > 0), F.abs(F.col("bad") / F.col("seen") - other_bad / others)).otherwise(F.lit(0.0))
-        variable = (F.col("children") > many) & (F.col("n") < rare * F.col("all_n"))
+        evidence = _log_likelihood("bad", "seen") + _log_likelihood(other_bad, others) - _log_likelihood("all_bad", "all_seen")
+        telling = (others > 0) & (evidence > z * z / 2 + F.log("children"))
+        variable = (F.col("children") > many) & (F.col("n") < rare * F.col("all_n")) & ~telling
         merged = (F.col("children") > 1) & (distance <= similar) & (gap <= z * noise)
         named = judged.select("host", "template", "segment", F.when(variable | merged, WILD).otherwise(F.col("segment")).alias("name"))
         rows = rows.join(named, ["host", "template", "segment"], "left")

@@ -329,6 +329,29 @@ def test_url_filter(spark):
     assert got[304].verdict == "allow" and got[305].verdict == "block"
 
 
+def test_url_filter_tells_rare_sections_apart(spark):
+    """40 sections of a host with 2.5 % of its pages each: one bad, 39 clean; then one clean, 39 bad."""
+    pages, labels = [], []
+    for host, odd, usual in (("a.example", 1, 0), ("b.example", 0, 1)):
+        for section in range(40):
+            urls = [f"http://{host}/s{section:02}/{i}" for i in range(30)]
+            pages += urls
+            labels += [(u, odd if section == 7 else usual) for u in urls[:20]]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(pages)], "page_id long, url string")
+    got = url_filter(df, spark.createDataFrame(labels, "url string, bad int"), []).collect()
+    want = lambda r: "block" if (r.host == "a.example") == r.path.startswith("/s07/") else "allow"
+    assert len(got) == len(pages) and all(r.verdict == want(r) for r in got)
+    assert {r.template for r in got} == {"/*/*", "/s07/*"}
+
+
+def test_url_filter_keeps_single_labels_pooled(spark):
+    """One bad label among many rare pages is no evidence about its page."""
+    urls = [f"http://a.example/{i}" for i in range(200)]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = url_filter(df, spark.createDataFrame([(u, int(i == 5)) for i, u in enumerate(urls)], "url string, bad int"), []).collect()
+    assert {r.template for r in got} == {"/*"}
+
+
 def test_chat_events(spark):
     log = [
         (1, 1, "message", 10, "user", "hel"), (1, 2, "delta", 10, None, "lo"), (1, 3, "message", 20, "assistant", "a"), (1, 4, "delta", 20, None, "b"),
