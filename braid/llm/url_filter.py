@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .tables import fresh_names, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-WILD, REST, STOP = "*", "**", ""
+WILD, STOP = "*", ""
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -58,22 +58,26 @@ def _log_likelihood(bad: Column | str, seen: Column | str) -> Column:
     return part(bad) + part(seen - bad)
 
 
-def templates(urls: DataFrame, depth: int = 4, many: int = 8, rare: float = 0.05, similar: float = 0.2, z: float = 2.58) -> DataFrame:
+def templates(urls: DataFrame, many: int = 8, rare: float = 0.05, similar: float = 0.2, z: float = 2.58) -> DataFrame:
     """(host, path, bad) to (host, path, template), one row for each different host and path.
 
-    ``bad`` is 1, 0 or null for unlabelled. Segments below ``depth`` are one ``**``. A
-    segment is variable if its node has more than ``many`` different segments, it holds
-    less than the part ``rare`` of the node's pages and its labels do not tell it apart.
+    ``bad`` is 1, 0 or null for unlabelled. A segment is variable if its node has more
+    than ``many`` different segments, it holds less than the part ``rare`` of the node's
+    pages and its labels do not tell it apart. There is one round for each level until
+    every path has ended or is alone under its template.
     """
     segments = F.filter(F.split("path", "/"), lambda s: s != "")
     rows = urls.groupBy("host", "path").agg(F.count("*").alias("n"), F.count("bad").alias("seen"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
     rows = written(rows.withColumn("segments", segments).withColumn("template", F.lit("")), "url-paths")
-    for level in range(depth):
+    columns = ["host", "path", "template", "n", "seen", "bad"]
+    done, level = rows.where(F.size("segments") == 0).select(columns), 0
+    rows = rows.where(F.size("segments") > 0)
+    while not rows.isEmpty():
         here = F.coalesce(F.get("segments", F.lit(level)), F.lit(STOP))
         then = _shape(F.coalesce(F.get("segments", F.lit(level + 1)), F.lit(STOP)))
         rows = rows.withColumns({"segment": here, "next": then})
-        shapes = rows.groupBy("host", "template", "segment", "next").agg(F.sum("n").alias("n"), F.sum("seen").alias("seen"), F.sum("bad").alias("bad"))
-        branch = shapes.groupBy("host", "template", "segment").agg(F.sum("n").alias("n"), F.sum("seen").alias("seen"), F.sum("bad").alias("bad"))
+        shapes = rows.groupBy("host", "template", "segment", "next").agg(F.sum("n").alias("n"), F.sum("seen").alias("seen"), F.sum("bad").alias("bad"), F.count("*").alias("paths"))
+        branch = shapes.groupBy("host", "template", "segment").agg(F.sum("n").alias("n"), F.sum("seen").alias("seen"), F.sum("bad").alias("bad"), F.sum("paths").alias("paths"))
         node = branch.where(F.col("segment") != STOP).groupBy("host", "template").agg(F.count("*").alias("children"), F.sum("n").alias("all_n"), F.sum("seen").alias("all_seen"), F.sum("bad").alias("all_bad"))
         pool = shapes.where(F.col("segment") != STOP).groupBy("host", "template", "next").agg(F.sum("n").alias("pool_n"))
         # Bhattacharyya coefficient of the branch's continuations and the pool's
@@ -89,14 +93,17 @@ def templates(urls: DataFrame, depth: int = 4, many: int = 8, rare: float = 0.05
         telling = (others > 0) & (evidence > z * z / 2 + F.log("children"))
         variable = (F.col("children") > many) & (F.col("n") < rare * F.col("all_n")) & ~telling
         merged = (F.col("children") > 1) & (distance <= similar) & (gap <= z * noise)
-        named = judged.select("host", "template", "segment", F.when(variable | merged, WILD).otherwise(F.col("segment")).alias("name"))
-        rows = rows.join(named, ["host", "template", "segment"], "left")
-        grown = F.when(F.col("segment") == STOP, F.col("template")).otherwise(F.concat("template", F.lit("/"), F.col("name")))
-        if level == depth - 1:
-            grown = F.when(F.size("segments") > depth, F.concat(grown, F.lit("/" + REST))).otherwise(grown)
-        rows = rows.withColumn("grown", grown).drop("template", "segment", "next", "name").withColumnRenamed("grown", "template")
-        rows = written(rows.select("host", "path", "n", "seen", "bad", "segments", "template"), "url-templates")
-    return rows.select("host", "path", "template", "n", "seen", "bad")
+        wild = variable | merged
+        named = judged.select("host", "template", "segment", F.when(wild, WILD).otherwise(F.col("segment")).alias("name"), (~wild & (F.col("paths") == 1)).alias("alone"))
+        rows = rows.join(named, ["host", "template", "segment"])
+        # the rest of a path that is alone under its template has no siblings: it stays as it is
+        rest = F.when(F.col("alone"), F.slice("segments", level + 2, F.size("segments"))).otherwise(F.array().cast("array<string>"))
+        grown = F.concat("template", F.lit("/"), F.array_join(F.concat(F.array("name"), rest), "/"))
+        ended = F.col("alone") | (F.size("segments") == level + 1)
+        rows = written(rows.withColumns({"grown": grown, "ended": ended}).select("host", "path", "n", "seen", "bad", "segments", F.col("grown").alias("template"), "ended"), "url-templates")
+        done = done.union(rows.where("ended").select(columns))
+        rows, level = rows.where("NOT ended").drop("ended"), level + 1
+    return done
 
 
 def url_filter(

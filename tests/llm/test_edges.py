@@ -344,6 +344,15 @@ def test_url_filter_tells_rare_sections_apart(spark):
     assert {r.template for r in got} == {"/*/*", "/s07/*"}
 
 
+def test_url_filter_goes_to_the_end_of_paths(spark):
+    """Sections from the fifth segment on, and a path that is alone."""
+    urls = [f"http://a.example/news/2024/01/02/{part}/{i}/x" for part in ("casino", "sport") for i in range(30)] + ["http://b.example/1/2/3/4/5/6/7"]
+    labels = spark.createDataFrame([(u, int("casino" in u)) for u in urls[:60]], "url string, bad int")
+    got = url_filter(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), labels, []).collect()
+    assert all(r.verdict == ("block" if "casino" in r.path else "allow") for r in got if r.host == "a.example")
+    assert {r.template for r in got} == {"/news/2024/01/02/casino/*/x", "/news/2024/01/02/sport/*/x", "/1/2/3/4/5/6/7"}
+
+
 def test_url_filter_keeps_single_labels_pooled(spark):
     """One bad label among many rare pages is no evidence about its page."""
     urls = [f"http://a.example/{i}" for i in range(200)]
