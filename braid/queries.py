@@ -474,7 +474,7 @@ def evaluate_structural_seed(spark, sf_dir):
     from .plans.graph import structural_seed
 
     df = embedding_series(spark, sf_dir).select("series", F.col("label").cast("double").alias("y"), (F.col("vec_id") % 3).cast("int").alias("fold"))
-    return result_table(spark, evaluate(structural_seed(), df, {"series": "series"}, "y", "fold", boundary=32, length=64, most=16))
+    return result_table(spark, evaluate(structural_seed(), df, {"series": "series"}, "y", "fold", boundary=32, length=64))
 
 
 @query("evaluate_tabular_seed")
@@ -483,4 +483,4 @@ def evaluate_tabular_seed(spark, sf_dir):
     from .plans.graph import tabular_seed
 
     li = table(spark, sf_dir, "lineitem").select("l_quantity", "l_discount", "l_tax", F.col("l_extendedprice").alias("y"), F.pmod(F.xxhash64("l_orderkey"), F.lit(3)).cast("int").alias("fold"))
-    return result_table(spark, evaluate(tabular_seed(), li, {"x": ["l_quantity", "l_discount", "l_tax"]}, "y", "fold", most=8, keep=4))
+    return result_table(spark, evaluate(tabular_seed(), li, {"x": ["l_quantity", "l_discount", "l_tax"]}, "y", "fold"))

@@ -51,3 +51,10 @@ def test_query(spark, db, name):
 def test_every_query_with_sql_is_registered():
     assert set(catalogue.oracle_sql()) <= set(catalogue.queries())
     assert len(catalogue.queries()) > 90
+
+
+@pytest.mark.parametrize(("name", "n"), [("evaluate_structural_seed", 48), ("evaluate_tabular_seed", 36)])
+def test_evaluations_plan_the_whole_space(spark, name, n):
+    rows = catalogue.queries()[name](spark, SF).collect()
+    assert len(rows) == n and all(r.approximate_score is not None for r in rows)
+    assert sum(r.score is not None for r in rows) == 16 and sum(r.selected for r in rows) == 1
