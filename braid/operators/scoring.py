@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import nz
+from .ordered import quantiles
 
 TINY = 1e-12
 
@@ -66,8 +67,9 @@ def alignment(df: DataFrame, features: list[str], y: str, squared: bool = False)
 
 
 def nrmse(y: Column, p: Column) -> Column:
-    """RMSE over the target's spread; the caller rejects targets that do not vary."""
-    return F.sqrt(F.avg((y - p) * (y - p))) / F.when(F.stddev_pop(y) > 0, F.stddev_pop(y))
+    """RMSE over the target's spread; raises if the target does not vary."""
+    spread = F.stddev_pop(y)
+    return F.sqrt(F.avg((y - p) * (y - p))) / F.when(spread > 0, spread).otherwise(F.raise_error(F.lit("the target does not vary")).cast("double"))
 
 
 def breakdown(y: Column, p: Column, metric: str = "rmse") -> list[Column]:
@@ -87,11 +89,9 @@ def by_group(df: DataFrame, group: str, y: str, p: str, metric: str = "rmse", gr
 
 def quantile_bins(df: DataFrame, value: str, bins: int = 5, out: str = "bin") -> DataFrame:
     """``df`` with the place of ``value`` among the inner edges of its exact quantile bins (an edge belongs to the bin above)."""
-    steps = [k / bins for k in range(bins + 1)]
-    edges = df.agg(F.percentile(nz(F.col(value).cast("double")), F.array(*map(F.lit, steps))).alias("__q")).select(F.array_sort(F.array_distinct("__q")).alias("__edges"))
-    inner = edges.select(F.when(F.size("__edges") > 2, F.slice("__edges", F.lit(2), F.size("__edges") - 2)).otherwise(F.array().cast("array<double>")).alias("__edges"))
     v = nz(F.col(value).cast("double"))
-    return df.crossJoin(F.broadcast(inner)).withColumn("__v", v).withColumn(out, F.size(F.filter("__edges", lambda e: e <= F.col("__v")))).drop("__edges", "__v")
+    edges = sorted(set(quantiles(df, v, [k / bins for k in range(bins + 1)]) or []))
+    return df.withColumn("__v", v).withColumn(out, sum((F.when(F.col("__v") >= e, 1).otherwise(0) for e in edges[1:-1]), F.lit(0))).drop("__v")
 
 
 def by_target_bin(df: DataFrame, y: str, p: str, metric: str = "rmse", bins: int = 5) -> DataFrame:
@@ -102,3 +102,22 @@ def by_target_bin(df: DataFrame, y: str, p: str, metric: str = "rmse", bins: int
 def by_time_bin(df: DataFrame, time: str, y: str, p: str, metric: str = "rmse", bins: int = 5) -> DataFrame:
     out = quantile_bins(df, time, bins).groupBy("bin").agg(*breakdown(F.col(y), F.col(p), metric), F.avg(p).alias("prediction_mean"), F.min(time).alias("low"), F.max(time).alias("high"))
     return out.orderBy("bin")
+
+
+REPORT = ("part", "role", "key", "n", "score", "raw", "residual_mean", "abs_residual_mean")
+
+
+def objective(df: DataFrame, y: str, p: str, metric: str = "rmse", group: str | None = None, time: str | None = None, roles: dict[str, str] | None = None, bins: int = 5) -> DataFrame:
+    """Where predictions are good and where not, as one table (REPORT): overall, by bin of the target, by group, by bin of time, and by each role's groups."""
+    measures = breakdown(F.col(y), F.col(p), metric)
+    named = lambda part, role, key, rows: rows.select(F.lit(part).alias("part"), F.lit(role).alias("role"), key.cast("string").alias("key"), *REPORT[3:])
+    tables = [named("overall", "", F.lit(""), df.agg(*measures)), named("target_bin", y, F.col("bin"), quantile_bins(df, y, bins).groupBy("bin").agg(*measures))]
+    if group:
+        tables.append(named("group", group, F.col(group), by_group(df, group, y, p, metric)))
+    if time:
+        tables.append(named("time_bin", time, F.col("bin"), quantile_bins(df, time, bins).groupBy("bin").agg(*measures)))
+    tables += [named("role", role, F.col(key), by_group(df, key, y, p, metric)) for role, key in (roles or {}).items() if key != group]
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import EPS, Block, clip, floor_at, nz, select_block
+from .ordered import quantiles
 
 
 @dataclass
@@ -102,8 +103,8 @@ def row_norm_weight(t: Table) -> tuple[Table, Column]:
     """1 / (1 + norm / the batch's median norm), the norm as root mean square."""
     squares = [t.x(i) * t.x(i) for i in range(t.width)]
     norm = F.sqrt(sum(squares[1:], squares[0]) / t.width)
-    t = t.batch(__median_norm=F.percentile(norm, F.lit(0.5)))
-    return t, 1 / (1 + norm / floor_at(F.col("__median_norm")))
+    median = quantiles(t.df, norm, [0.5])
+    return t, 1 / (1 + norm / floor_at(F.lit(median[0] if median else None).cast("double")))
 
 
 TABULAR_BLOCKS: dict[str, Callable[[Table], tuple[Table, Block]]] = {

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import nz
+from ..operators.ordered import quantiles
 from .linalg import Ridge, ridge
 from .rank import GRID, fit as rank_fit
 
@@ -78,8 +79,8 @@ class RawRidge:
     @classmethod
     def fit(cls, df: DataFrame, features: list[str], y: str) -> RawRidge:
         finite = lambda c: F.when(~F.isnan(c) & (F.abs(c) != float("inf")), F.col(c).cast("double"))
-        found = df.agg(*(F.percentile(finite(f), F.lit(0.5)).alias(f"m{i}") for i, f in enumerate(features))).first()
-        out = cls(features, [0.0 if m is None else float(m) for m in found], Ridge(np.zeros(0), 0.0, 0.0))
+        found = [(quantiles(df, finite(f), [0.5]) or [0.0])[0] for f in features]
+        out = cls(features, found, Ridge(np.zeros(0), 0.0, 0.0))
         out.model = ridge(out.imputed(df), [f"__i{i}" for i in range(len(features))], y)
         return out
 
