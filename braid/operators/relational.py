@@ -53,6 +53,71 @@ def rollup(df: DataFrame, explode: str, value: str) -> DataFrame:
     return rows.groupBy("dep").agg(F.count("*").alias("n"), F.sum(value).alias("total"), F.avg(value).alias("mean"), F.max(value).alias("most"))
 
 
+#: What a roll-up of features holds: its column, the feature's column, and the aggregate.
+ROLLED = {
+    "importance": ("importance", F.sum),
+    "shap_importance": ("shap_importance", F.sum),
+    "max_target_alignment": ("target_alignment", lambda c: F.greatest(F.max(c), F.lit(0.0))),
+    "mean_abs_shap": ("shap_mean_abs", F.avg),
+    "mean_abs_residual_corr": ("residual_corr", lambda c: F.avg(F.abs(c))),
+    "mean_redundancy": ("redundancy", F.avg),
+    "mean_weight_stability": ("weight_stability", F.avg),
+}
+
+
+def subnodes(features: DataFrame) -> DataFrame:
+    """Per alternative that features depend on (``dependencies``, a list): how many, and their fields taken together."""
+    rows = features.withColumn("__dep", F.explode("dependencies"))
+    return rows.groupBy(F.col("__dep").alias("name")).agg(F.count("*").alias("feature_count"), *(how(F.col(c)).alias(out) for out, (c, how) in ROLLED.items()))
+
+
+def alternatives(features: DataFrame, chosen: DataFrame) -> DataFrame:
+    """:func:`subnodes` with ``selected``; ``chosen`` (name) that no feature depends on have zeros."""
+    both = subnodes(features).join(chosen.select("name").distinct().withColumn("selected", F.lit(True)), "name", "full")
+    numbers = [c for c in both.columns if c not in ("name", "selected")]
+    node = F.substring_index("name", ".", 1)
+    return both.select("name", node.alias("node"), F.substring_index("name", ".", -1).alias("alternative"), *(F.coalesce(c, F.lit(0)).alias(c) for c in numbers), F.coalesce("selected", F.lit(False)).alias("selected"))
+
+
+def search_summary(configs: DataFrame, by: list[str]) -> DataFrame:
+    """Per search (``by``): configurations, the range, mean and population spread of their scores, and their features in all and in the best."""
+    best = F.max_by("n_features", F.struct(F.col("score"), -F.col("planner_index")))
+    return configs.groupBy(*by).agg(
+        F.count("*").alias("evaluated"), F.min("score").alias("least"), F.max("score").alias("best_config_score"), F.avg("score").alias("score_mean"), F.stddev_pop("score").alias("score_std"),
+        F.sum("n_features").alias("n_features_global"), best.alias("n_features_best_config"),
+    )
+
+
+def risky(features: DataFrame, copy: float = 0.98, unstable: float = 0.25) -> DataFrame:
+    """Features that are likely copies of another or whose weights change from fold to fold."""
+    return features.where((F.col("redundancy") > copy) | (F.col("weight_stability") < unstable))
+
+
+def last_rows(df: DataFrame, n: int, order: list[Column]) -> DataFrame:
+    """The last ``n`` rows in the order; ``n`` is what a reader asks to see."""
+    return df.orderBy(*(c.desc() for c in order)).limit(n)
+
+
+def first_rows(df: DataFrame, n: int, order: list[Column]) -> DataFrame:
+    return df.orderBy(*order).limit(n)
+
+
+def best_row(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
+    """The least row of each key in the order, by one aggregate."""
+    return df.groupBy(*by).agg(F.min_by(F.struct(*(c for c in df.columns if c not in by)), F.struct(*order)).alias("__r")).select(*by, "__r.*")
+
+
+def every(df: DataFrame, step: str, k: int) -> DataFrame:
+    """Rows of every ``k``-th step of a run, the first at ``k``."""
+    return df.where((F.col(step) > 0) & (F.col(step) % k == 0))
+
+
+def spread_of(df: DataFrame, by: list[str], value: str, failed: Column) -> DataFrame:
+    """Per key: median and range of a value over rows that did not fail, and the part that did. A key's rows are experiments, few for each."""
+    v = F.when(~failed, F.col(value))
+    return df.groupBy(*by).agg(F.percentile(v, F.lit(0.5)).alias("median"), F.min(v).alias("least"), F.max(v).alias("most"), F.avg(failed.cast("double")).alias("failure_rate"))
+
+
 def history(state: DataFrame | None, rows: DataFrame) -> DataFrame:
     """Alternative history after a batch of rows (name, step, importance, alignment, score, selected): counts, last values, running means and best values.
 

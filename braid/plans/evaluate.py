@@ -25,11 +25,13 @@ from ..operators import combine
 from ..operators.series import SERIES_BLOCKS, Series, boundary_energy_weight, late_energy_weight, with_time_scale
 from ..operators.tabular import TABULAR_BLOCKS, Table, row_norm_weight
 from .graph import Alternative, Graph, feature_signature
-from .linalg import ALPHAS, Moments, Ridge, Solver, correlations, effective_rank, first_least, moments, summed
+from .linalg import ALPHAS, Moments, Ridge, Solver, effective_rank, first_least, moments, summed, target_correlations
 from .planner import Config, coverage, finalists, plan
+from .report import alternative_rows, feature_rows, search_summary, subnode_rows
 
 IRLS_STEPS = 2
 FINALISTS = 16
+ALL = -1  # the fold that no row is of
 
 
 class Superset:
@@ -117,6 +119,17 @@ class Superset:
     def _outputs(self, config: Config) -> list[tuple[str, str]]:
         return [(c, f"{node.name}.{a.id}.{n}") for node in self.g.of_kind("output") for a in node.alternatives for c, n in self.block(a, config)]
 
+    def dependencies(self, config: Config) -> list[list[str]]:
+        """For each feature, the alternatives (node.alternative) that it is made of, its output's first."""
+        return [self._below(f"{node.name}.{a.id}", a, config) for node in self.g.of_kind("output") for a in node.alternatives for _ in self.block(a, config)]
+
+    def _below(self, name: str, a: Alternative, config: Config) -> list[str]:
+        found = [name]
+        for p in self._made_parents(a):
+            chosen = self._chosen(p, config)
+            found += [x for x in self._below(f"{p}.{chosen.id}", chosen, config) if x not in found]
+        return found
+
     def weight(self, config: Config) -> Column | None:
         if "ridge_w" not in self.g.nodes:
             return None
@@ -165,6 +178,16 @@ class Result:
     models: list[Ridge]
     table: list[dict] = field(default_factory=list)  # a row for each configuration that was looked at
     diagnostics: dict = field(default_factory=dict)
+    alphas: list[float] = field(default_factory=list)
+    frame: DataFrame | None = None  # the winner's features, target, fold and the columns that were kept
+    columns: list[str] = field(default_factory=list)
+
+    def out_of_fold(self, name: str = "prediction") -> DataFrame:
+        """The rows that were evaluated, each with the prediction of the model that did not see it."""
+        out = F.lit(None).cast("double")
+        for f, model in enumerate(self.models):
+            out = F.when(F.col("__fold") == f, model.column(self.columns)).otherwise(out)
+        return self.frame.withColumn(name, out).drop(*self.columns)
 
 
 def _fold_score(metric: str, n: float, sy: float, syy: float, see: float, sae: float) -> float:
@@ -191,8 +214,9 @@ def evaluate(
     most: int = 64,
     keep: int = FINALISTS,
     irls_steps: int = IRLS_STEPS,
+    carry: tuple[str, ...] = (),
 ) -> Result:
-    """The best planned configuration of ``g``; ``fold`` is a column of fold numbers from 0.
+    """The best planned configuration of ``g``; ``fold`` is a column of fold numbers from 0, ``carry`` are columns to report by.
 
     More than ``keep`` planned configurations are screened first, on fold 0 at the middle
     penalty. A score that is not a number wins first, then the greatest, ties to the
@@ -215,11 +239,15 @@ def evaluate(
         s.level[f"__w{i}"] = 0
         s.columns[f"__w{i}"] = F.lit(1.0) if w is None else F.greatest(nz(w.cast("double")), F.lit(0.0))
     features = [n for n in s.columns if n.startswith("__f")]
-    frame = s.frame([F.col(y).cast("double").alias("__y"), F.col(fold).cast("int").alias("__fold")]).withColumn("__one", F.lit(1.0)).persist()
+    given = s.frame([F.col(y).cast("double").alias("__y"), F.col(fold).cast("int").alias("__fold"), *map(F.col, carry)])
+    frame = given.withColumn("__one", F.lit(1.0)).persist()
     try:
-        return _evaluate(g, s, frame, configs, whole, per, w_names, weight_columns, features, metric, keep, irls_steps)
+        out = _evaluate(g, s, frame, configs, whole, per, w_names, weight_columns, features, metric, keep, irls_steps)
     finally:
         frame.unpersist()
+    out.columns = s.features(out.config)
+    out.frame = given.select("__y", "__fold", *carry, *dict.fromkeys(out.columns))
+    return out
 
 
 def _evaluate(g, s, frame, configs, whole, per, w_names, weight_columns, features, metric, keep, irls_steps) -> Result:
@@ -237,7 +265,8 @@ def _evaluate(g, s, frame, configs, whole, per, w_names, weight_columns, feature
         n = sum(sums[k, j][0] for k in range(folds) if k != f)
         return Moments.of(n, sum(sums[k, j][1] for k in range(folds) if k != f), shift)
 
-    train = {(f, j): training(f, j) for f in range(folds) for j in range(len(weights))}
+    # no row is of fold ALL, so its training rows are all rows
+    train = {(f, j): training(f, j) for f in (ALL, *range(folds)) for j in range(len(weights))}
 
     def solver(i: int, f: int, weighted: Moments | None = None) -> Solver:
         at = [place[c] for c in per[i]] + [place["__y"]]
@@ -246,33 +275,38 @@ def _evaluate(g, s, frame, configs, whole, per, w_names, weight_columns, feature
     table = [{"planner_index": i, "config": c, "n_features": len(per[i])} for i, c in enumerate(configs)]
     chosen = list(range(len(configs)))
     if len(configs) > keep:
-        approximate = []
-        for i in chosen:
-            model = solver(i, 0).fit(float(ALPHAS[len(ALPHAS) // 2]))
+        models = {i: solver(i, 0).fit(float(ALPHAS[len(ALPHAS) // 2])) for i in chosen}
+        if metric == "mae":  # absolute errors are no moments: one pass
+            found = _errors(frame, columns, [(i, 0) for i in chosen], per, {(i, 0): m for i, m in models.items()}, place)
+            approximate = [_fold_score(metric, *found[i, 0]) for i in chosen]
+        else:
             n, raw = sums[0, 0]
-            at = [place[c] for c in per[i]]
             val = Moments.of(n, raw, shift)
-            b = np.append(model.coef, -1.0)
-            m = val.take([*at, place["__y"]])
-            bias = float(m.mean @ b) + model.intercept
-            see = float(b @ m.cross @ b) + n * bias * bias
-            mean_y, syy = float(m.mean[-1]), float(m.cross[-1, -1]) + n * float(m.mean[-1]) ** 2
-            # sums of absolute errors are no moments; squares stand in for them when screening
-            score = _fold_score("rmse" if metric == "mae" else metric, n, n * mean_y, syy, see, 0.0)
-            approximate.append(score)
+            approximate = []
+            for i in chosen:
+                m, b = val.take([*(place[c] for c in per[i]), place["__y"]]), np.append(models[i].coef, -1.0)
+                bias = float(m.mean @ b) + models[i].intercept
+                see = float(b @ m.cross @ b) + n * bias * bias
+                mean_y, syy = float(m.mean[-1]), float(m.cross[-1, -1]) + n * float(m.mean[-1]) ** 2
+                approximate.append(_fold_score(metric, n, n * mean_y, syy, see, 0.0))
+        for i, score in zip(chosen, approximate, strict=True):
             table[i]["approximate_score"] = score
         chosen = finalists(g, configs, approximate, keep)
 
     # exact fits: the penalty by leave-one-out errors, one pass for all finalists and folds
-    index = [(i, f) for i in chosen for f in range(folds)]
-    fits = _select(frame, columns, weight_columns, index, per, w_names, {k: solver(*k) for k in index}, None, place)
     rules = {i: s.rule(configs[i]) for i in chosen}
-    ruled = [k for k in index if rules[k[0]] is not None]
-    for _ in range(irls_steps if ruled else 0):
-        again = _reweighted(frame, columns, weight_columns, ruled, per, w_names, w_mean, fits, rules, train, shift, place)
-        solvers = {k: solver(*k, weighted=again[k][0]) for k in ruled}
-        fits |= _select(frame, columns, weight_columns, ruled, per, w_names, solvers, (fits, rules, {k: again[k][1] for k in ruled}, w_mean), place)
 
+    def exact(index: list[tuple[int, int]]) -> dict:
+        fits = _select(frame, columns, weight_columns, index, per, w_names, {k: solver(*k) for k in index}, None, place)
+        ruled = [k for k in index if rules[k[0]] is not None]
+        for _ in range(irls_steps if ruled else 0):
+            again = _reweighted(frame, columns, weight_columns, ruled, per, w_names, w_mean, fits, rules, train, shift, place)
+            solvers = {k: solver(*k, weighted=again[k][0]) for k in ruled}
+            fits |= _select(frame, columns, weight_columns, ruled, per, w_names, solvers, (fits, rules, {k: again[k][1] for k in ruled}, w_mean), place)
+        return fits
+
+    index = [(i, f) for i in chosen for f in range(folds)]
+    fits = exact(index)
     sizes = _errors(frame, columns, index, per, fits, place)
     best = None
     for i in chosen:
@@ -285,34 +319,29 @@ def _evaluate(g, s, frame, configs, whole, per, w_names, weight_columns, feature
             break
         if best is None or score > table[best]["score"]:
             best = i
-    whole_m = Moments.of(sum(sums[f, 0][0] for f in range(folds)), sum(sums[f, 0][1] for f in range(folds)), shift)
     at = [place[c] for c in per[best]]
-    corr = correlations(whole_m.take(at)) if at else np.zeros((0, 0))
-    target = np.array([float(correlations(whole_m.take([a, place["__y"]]))[0, 1]) for a in at])
-    coefs = np.array([np.abs(fits[best, f].coef * train[f, 0].take(at).std) for f in range(folds)]) if at else np.zeros((folds, 0))
-    signed = np.array([fits[best, f].coef for f in range(folds)]) if at else np.zeros((folds, 0))
-    total = coefs.mean(axis=0).sum() if at else 0.0
-    labels = s.labels(configs[best])
-    rows = [
-        {
-            "name": labels[j],
-            "importance": float(coefs[:, j].mean() / total) if total else 0.0,
-            "target_alignment": float(target[j]),
-            "max_corr": float(corr[j].max(initial=0)),
-            "n_high_corr": int((corr[j] > 0.9).sum()),
-            "most_correlated": labels[int(corr[j].argmax())] if corr[j].max(initial=0) > 0 else "",
-            "weight_stability": float(abs(signed[:, j].mean()) / (abs(signed[:, j].mean()) + signed[:, j].std() + 1e-12)),
-            "mean_abs_coef": float(np.abs(signed[:, j]).mean()),
-        }
-        for j in range(len(labels))
-    ]
+    labels, config = s.labels(configs[best]), configs[best]
+    models = [fits[best, f] for f in range(folds)]
+    overall = exact([(best, ALL)])[best, ALL]
+    whole_m = train[ALL, 0]
+    stats = target_correlations(frame, [columns[a] for a in at], "__y", "__fold", whole_m.take(at), models, [train[f, 0].take(at) for f in range(folds)])
+    features_found = feature_rows(labels, s.dependencies(config), models, overall, [train[f, 0].take(at) for f in range(folds)], whole_m.take(at), stats)
+    scores = table[best]["fold_scores"]
     diagnostics = {
-        "features": sorted(rows, key=lambda r: -r["importance"]),
+        "features": features_found,
+        "subnodes": subnode_rows(features_found),
+        "alternatives": alternative_rows(features_found, {n: c for n, c in config.items() if g.nodes[n].kind in ("intermediate", "callable", "fitting")}, table[best]["score"]),
         "effective_rank": effective_rank(whole_m.take(at)) if at else 0.0,
+        "mean_max_corr": float(np.mean([r["max_corr"] for r in features_found])) if features_found else 0.0,
+        "global_ridge": {"alpha": overall.alpha, "intercept": overall.intercept, "residual_reweighted": rules[best] is not None},
+        "prediction_std": stats["prediction_std"],
+        "residual_std": stats["residual_std"],
+        "folds": {"mean": float(np.mean(scores)), "std": float(np.std(scores)), "scores": scores},
+        "configuration_search": search_summary([r for r in table if "score" in r], whole, len(configs)),
         "planner": {"planned": len(configs), "total": whole, "axes": coverage(g, configs)},
         "signatures": len({feature_signature(g, c) for c in configs}),
     }
-    return Result(table[best]["score"], configs[best], labels, table[best]["fold_scores"], [fits[best, f] for f in range(folds)], table, diagnostics)
+    return Result(table[best]["score"], config, labels, scores, models, table, diagnostics, [m.alpha for m in models])
 
 
 def _irls_weight(residual: np.ndarray, scale: float) -> np.ndarray:

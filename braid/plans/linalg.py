@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ALPHAS = np.logspace(-4, 4, 17)
@@ -90,6 +90,10 @@ class Ridge:
     def predict(self, x: np.ndarray) -> np.ndarray:
         return x @ self.coef + self.intercept
 
+    def column(self, features: list[str]) -> Column:
+        """The prediction as an expression of the features' columns."""
+        return sum((F.lit(float(b)) * F.col(c) for b, c in zip(self.coef, features, strict=True)), F.lit(float(self.intercept)))
+
 
 @dataclass
 class Solver:
@@ -185,3 +189,43 @@ def correlations(m: Moments) -> np.ndarray:
     out[~ok, :] = out[:, ~ok] = 0
     np.fill_diagonal(out, 0)
     return out
+
+
+def target_correlations(df: DataFrame, features: list[str], y: str, fold: str, whole: Moments, models: list[Ridge], train: list[Moments]) -> dict:
+    """In one pass: each feature's correlations with target and residual (out of fold), its square's too, and its mean
+    distances from its means (over all rows, and over each fold's rows from the training rows' mean)."""
+    p, different = len(features), list(dict.fromkeys(features))
+    at = [different.index(c) for c in features]
+    shift = np.append(whole.mean, whole.std**2 + whole.mean**2)
+
+    def kernel(rows: np.ndarray) -> dict[int, np.ndarray]:
+        x, target, own = rows[:, at], rows[:, -2], rows[:, -1].astype(int)
+        predicted, apart = np.empty(len(rows)), np.zeros(p)
+        for f in np.unique(own):
+            here = own == f
+            predicted[here] = models[f].predict(x[here])
+            apart += (np.abs(x[here] - train[f].mean) * np.abs(models[f].coef)).sum(axis=0)
+        residual = target - predicted
+        v = np.column_stack((x, x * x)) - shift
+        t, r = target[:, None], residual[:, None]
+        one = [np.array([len(rows), target.sum(), (target**2).sum(), residual.sum(), (residual**2).sum(), predicted.sum(), (predicted**2).sum()])]
+        sums = [v.sum(axis=0), (v * v).sum(axis=0), (v * t).sum(axis=0), (v * r).sum(axis=0), np.abs(x - whole.mean).sum(axis=0), apart]
+        return {0: np.concatenate([*one, *sums])}
+
+    found = summed(df, [*different, y, fold], kernel).get(0, np.zeros(7 + 10 * p))
+    n = max(found[0], 1.0)
+    mean = found[:7] / n
+    spread = lambda k: float(np.sqrt(max(mean[k + 1] - mean[k] ** 2, 0.0)))
+    s1, s2, sy, sr = (found[7 + 2 * p * i : 7 + 2 * p * (i + 1)] / n for i in range(4))
+    sd = np.sqrt(np.maximum(s2 - s1**2, 0.0))
+
+    def corr(cross: np.ndarray, k: int) -> np.ndarray:
+        ok = (sd > 1e-12) & (spread(k) > 1e-12)
+        return np.where(ok, (cross - s1 * mean[k]) / np.where(ok, sd * spread(k), 1.0), 0.0)
+
+    target, residual = corr(sy, 1), corr(sr, 3)
+    away = found[7 + 8 * p :] / n
+    return {
+        "target": target[:p], "target_squared": target[p:], "residual": residual[:p], "residual_squared": residual[p:],
+        "distance": away[:p], "held_out_distance": away[p:], "residual_std": spread(3), "prediction_std": spread(5),
+    }
