@@ -106,7 +106,7 @@ class Part:
 
     @property
     def end(self) -> Column:
-        return F.element_at(self.values, -1)
+        return F.try_element_at(self.values, F.lit(-1))
 
 
 class Series:

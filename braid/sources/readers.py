@@ -13,6 +13,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.ordered import ranked
+
 Loader = Callable[[SparkSession, dict], DataFrame]
 _LOADERS: dict[str, Loader] = {}
 
@@ -94,7 +96,9 @@ def synthetic_structural_break(spark: SparkSession, config: dict) -> DataFrame:
     n, length, seed = int(config.get("n_samples", 100)), int(config.get("length", 96)), int(config.get("seed", 0))
     b = int(config.get("boundary") or length // 2)
     row = F.col("row_id")
-    df = spark.range(n).withColumnRenamed("id", "row_id").withColumn("y", (F.pmod(F.xxhash64(F.lit(seed), F.lit(-1), row), F.lit(2))).cast("double"))
+    rows = spark.range(n).withColumnRenamed("id", "row_id")
+    # half of the rows break: those first in a shuffled order
+    df = ranked(rows, [uniform(row, seed, -1), row], "__order").withColumn("y", (F.col("__order") < n // 2).cast("double"))
     df = df.withColumns({"drift": 0.05 * normal(row, seed, 0), "level": 0.7 + 0.08 * normal(row, seed, 1), "spread": 1.8 + 0.5 * uniform(row, seed, 4), "ramp": 0.8 + 0.4 * uniform(row, seed, 5), "t": F.sequence(F.lit(0), F.lit(length - 1))})
 
     def value(t: Column) -> Column:
@@ -108,13 +112,14 @@ def synthetic_structural_break(spark: SparkSession, config: dict) -> DataFrame:
 
 
 def inject_outliers(df: DataFrame, column: str = "series", key: str = "row_id", seed: int = 0, part: float = 0.2) -> DataFrame:
-    """A spike of 5 to 8 at one place of each chosen row; rows are chosen by hash."""
+    """A spike of 5 to 8 at one place of each chosen row: that part of the rows, one at least, those first in a shuffled order."""
     k = F.col(key)
-    hit = uniform(k, seed, 21) < part
+    df = ranked(df, [uniform(k, seed, 21), k], "__order")
+    hit = F.col("__order") < max(1, int(df.count() * part + 1e-9))
     at = F.floor(uniform(k, seed, 22) * F.size(column)).cast("int")
     spike = (5 + 3 * uniform(k, seed, 23)) * F.when(uniform(k, seed, 24) < 0.5, -1.0).otherwise(1.0)
     wide = df.withColumns({"__hit": hit, "__at": at, "__spike": spike})
-    return wide.withColumn(column, F.transform(column, lambda v, i: F.when(F.col("__hit") & (i == F.col("__at")), v + F.col("__spike")).otherwise(v))).drop("__hit", "__at", "__spike")
+    return wide.withColumn(column, F.transform(column, lambda v, i: F.when(F.col("__hit") & (i == F.col("__at")), v + F.col("__spike")).otherwise(v))).drop("__hit", "__at", "__spike", "__order")
 
 
 def frozen_dataset(spark: SparkSession, manifest: str) -> tuple[DataFrame, dict[str, DataFrame]]:
@@ -127,10 +132,15 @@ def frozen_dataset(spark: SparkSession, manifest: str) -> tuple[DataFrame, dict[
     path = (at.parent / m["data"]).resolve()
     if "://" in m["data"] or not path.is_relative_to(at.parent):
         raise ValueError("the data is not beside its manifest")
-    if hashlib.sha256(path.read_bytes()).hexdigest() != m["sha256"]:
-        raise ValueError("the data is not what was frozen")
+    with open(path, "rb") as data:
+        if hashlib.file_digest(data, "sha256").hexdigest() != m["sha256"]:
+            raise ValueError("the data is not what was frozen")
     df = spark.read.parquet(str(path)) if path.suffix == ".parquet" else spark.read.csv(str(path), header=True, inferSchema=True)
-    splits = m["splits"]
+    numeric = [c for c, t in df.dtypes if t in ("double", "float")]
+    finite = lambda c: F.count(F.when(F.col(c).isNull() | F.isnan(c) | (F.abs(c) == float("inf")), 1))
+    if numeric and any(df.agg(*map(finite, numeric)).first()):
+        raise ValueError("the data holds values that are not finite")
+    splits = m["splits"] if "splits" in m else json.loads((at.parent / m["split_file"]).read_text())["splits"]
     if sorted(splits) != ["test", "train", "validation"]:
         raise ValueError("three splits are needed")
     ids = [i for part in splits.values() for i in part]
@@ -145,5 +155,12 @@ def event_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).json(path).where("step IS NOT NULL")
 
 
-for _name, _loader in (("parquet", load_parquet), ("external-npz", load_npz), ("external-manifest", load_manifest), ("python-module", load_module), ("synthetic-tabular", synthetic_tabular), ("synthetic-structural-break", synthetic_structural_break)):
+def task_table(spark: SparkSession, config: dict) -> DataFrame:
+    """Rows of a task with a known graph; see :mod:`braid.sources.tasks`."""
+    from .tasks import generate
+
+    return generate(spark, config["task"], config.get("split", "train"), int(config.get("n_samples", 512)), int(config.get("seed", 0)))
+
+
+for _name, _loader in (("ground-truth-task", task_table), ("parquet", load_parquet), ("external-npz", load_npz), ("external-manifest", load_manifest), ("python-module", load_module), ("synthetic-tabular", synthetic_tabular), ("synthetic-structural-break", synthetic_structural_break)):
     register(_name, _loader)
