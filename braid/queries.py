@@ -301,7 +301,7 @@ def fold_stratified(spark, sf_dir):
     return ordered.stratified_folds(table(spark, sf_dir, "orders"), "o_orderstatus", ["o_orderkey"], 4, seed=None).select("o_orderkey", "o_orderstatus", "fold")
 
 
-@query("fold_random")
+@query("fold_random", "SELECT o_orderkey, (ntile(5) OVER (ORDER BY md5('7|' || o_orderkey), o_orderkey) - 1)::INT AS fold FROM orders")
 def fold_random(spark, sf_dir):
     return ordered.random_folds(table(spark, sf_dir, "orders"), "o_orderkey", 5, seed=7).select("o_orderkey", "fold")
 
@@ -325,11 +325,38 @@ def split_check(spark, sf_dir):
     return ordered.check_split(ordered.three_way_split(o, "o_orderkey", seed=3), o, "o_orderkey")
 
 
-@query("split_fingerprint")
+@query("split_fingerprint", "SELECT count(*) AS rows, sha256(sum(('0x' || substr(md5(concat_ws('|', o_orderkey, o_custkey, o_totalprice)), 1, 15))::HUGEINT)::VARCHAR) AS digest FROM orders")
 def split_fingerprint(spark, sf_dir):
     return ordered.fingerprint(table(spark, sf_dir, "orders"), ["o_orderkey", "o_custkey", "o_totalprice"])
 
 
+_EDGES4 = "list_sort(list_distinct((SELECT quantile_cont(o_totalprice, [0.2, 0.4, 0.6, 0.8]) FROM orders)))"
+
+
+@query("fold_quantile_labels", f"WITH b AS (SELECT o_orderkey, len(list_filter({_EDGES4}, lambda e: o_totalprice >= e))::INT AS stratum FROM orders) SELECT o_orderkey, (ntile(4) OVER (PARTITION BY stratum ORDER BY o_orderkey) - 1)::INT AS fold FROM b")
+def fold_quantile_labels(spark, sf_dir):
+    from .plans.folds import stratified
+
+    return stratified(table(spark, sf_dir, "orders"), "o_orderkey", "o_totalprice", 4, seed=None).select("o_orderkey", "fold")
+
+
+@query(
+    "fold_dispatch",
+    "WITH g AS (SELECT o_custkey, ntile(5) OVER (ORDER BY o_custkey) - 1 AS fold FROM (SELECT DISTINCT o_custkey FROM orders)), c AS (SELECT list(n ORDER BY fold) AS counts, count(*) AS k, sum(n) AS n FROM (SELECT fold, count(*) AS n FROM g GROUP BY fold)) "
+    "SELECT 'group_random' AS method, n::BIGINT AS n_groups, k::BIGINT AS actual_folds, array_to_string(counts, ',') AS counts, 0::BIGINT AS overlap, '' AS reason FROM c UNION ALL SELECT 'random', 0, 5, '', 0, 'group key was not supplied' UNION ALL SELECT 'time_blocked', 0, 5, array_to_string((SELECT list(n ORDER BY fold) FROM (SELECT fold, count(*) AS n FROM (SELECT ntile(5) OVER (ORDER BY o_orderdate, o_orderkey) AS fold FROM orders) GROUP BY fold)), ','), 0, ''",
+)
+def fold_dispatch(spark, sf_dir):
+    """What the strategies report: by groups, by groups without their column, by time."""
+    from .plans.folds import FoldStrategy
+
+    o, rows = table(spark, sf_dir, "orders"), []
+    for s in (FoldStrategy("group_random", "o_custkey"), FoldStrategy("group_random", "absent"), FoldStrategy("time_blocked", time_key="o_orderdate")):
+        folded, about = s.split(o, "o_orderkey", "o_totalprice", 5, None)
+        counts = about.get("validation_group_counts") or about.get("validation_block_sizes") or []
+        rows.append((about["method"], about.get("n_groups", 0), about.get("actual_folds", folded.select("fold").distinct().count()), ",".join(map(str, counts)), about.get("fold_group_overlap_count", 0), about.get("reason", "")))
+    return spark.createDataFrame(rows, "method string, n_groups long, actual_folds long, counts string, overlap long, reason string")
+
+
 @query("topk_orders", "SELECT o_custkey, o_orderkey, o_totalprice, rank FROM (SELECT *, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey))::INT AS rank FROM orders) WHERE rank <= 3")
 def topk_orders(spark, sf_dir):
     done = ordered.top_k(table(spark, sf_dir, "orders"), 3, ["o_custkey"], [F.desc("o_totalprice"), F.col("o_orderkey")])
@@ -434,6 +461,107 @@ def dep_rollup(spark, sf_dir):
     return rounded(R.rollup(li, "deps", "l_quantity"), places=4)
 
 
+_FEATURES = (
+    "SELECT p_partkey, 'output.' || p_brand || '.f' || p_partkey AS name, ['output.' || p_brand, 'base.' || p_type] AS dependencies, p_size / 50.0 AS importance, p_retailprice / 2000 AS shap_importance, (p_size - 10) / 50.0 AS target_alignment,"
+    " p_retailprice / 1000 AS shap_mean_abs, (p_size - 25) / 25.0 AS residual_corr, p_size / 49.0 AS redundancy, p_size / 20.0 AS weight_stability FROM part"
+)
+_ROLL = (
+    "name, feature_count, round(importance + 3e-8, 4) + 0.0 AS importance, round(shap_importance + 3e-8, 4) + 0.0 AS shap_importance, round(max_target_alignment + 3e-8, 4) + 0.0 AS max_target_alignment, round(mean_abs_shap + 3e-8, 4) + 0.0 AS mean_abs_shap,"
+    " round(mean_abs_residual_corr + 3e-8, 4) + 0.0 AS mean_abs_residual_corr, round(mean_redundancy + 3e-8, 4) + 0.0 AS mean_redundancy, round(mean_weight_stability + 3e-8, 4) + 0.0 AS mean_weight_stability"
+)
+_SUBNODES = (
+    f"SELECT name, count(*) AS feature_count, sum(importance) AS importance, sum(shap_importance) AS shap_importance, greatest(max(target_alignment), 0) AS max_target_alignment, avg(shap_mean_abs) AS mean_abs_shap, avg(abs(residual_corr)) AS mean_abs_residual_corr,"
+    f" avg(redundancy) AS mean_redundancy, avg(weight_stability) AS mean_weight_stability FROM (SELECT * EXCLUDE (name), unnest(dependencies) AS name FROM ({_FEATURES})) GROUP BY name"
+)
+
+
+def _features(spark, sf_dir):
+    size, price = F.col("p_size"), F.col("p_retailprice")
+    output = F.concat(F.lit("output."), "p_brand")
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", F.concat(output, F.lit(".f"), "p_partkey").alias("name"), F.array(output, F.concat(F.lit("base."), "p_type")).alias("dependencies"), (size / 50.0).alias("importance"), (price / 2000).alias("shap_importance"), ((size - 10) / 50.0).alias("target_alignment"),
+        (price / 1000).alias("shap_mean_abs"), ((size - 25) / 25.0).alias("residual_corr"), (size / 49.0).alias("redundancy"), (size / 20.0).alias("weight_stability"),
+    )
+
+
+@query("subnode_rollup", f"SELECT {_ROLL} FROM ({_SUBNODES})")
+def subnode_rollup(spark, sf_dir):
+    return rounded(R.subnodes(_features(spark, sf_dir)), places=4)
+
+
+@query(
+    "alternative_rollup",
+    f"WITH s AS ({_SUBNODES}), c AS (SELECT DISTINCT 'output.' || o_orderpriority AS name FROM orders UNION SELECT min(name) FROM s) SELECT {_ROLL.replace('name,', 'coalesce(s.name, c.name) AS name,', 1).replace('feature_count,', 'coalesce(feature_count, 0) AS feature_count,', 1).replace('round(', 'round(coalesce(').replace(' + 3e-8', ', 0) + 3e-8')}, split_part(coalesce(s.name, c.name), '.', 1) AS node, split_part(coalesce(s.name, c.name), '.', 2) AS alternative, c.name IS NOT NULL AS selected FROM s FULL JOIN c ON s.name = c.name",
+)
+def alternative_rollup(spark, sf_dir):
+    features = _features(spark, sf_dir)
+    least = R.subnodes(features).agg(F.min("name").alias("name"))
+    chosen = table(spark, sf_dir, "orders").select(F.concat(F.lit("output."), "o_orderpriority").alias("name")).union(least)
+    return rounded(R.alternatives(features, chosen), places=4)
+
+
+@query("config_search_summary", "SELECT o_orderpriority, count(*) AS evaluated, min(o_totalprice) AS least, max(o_totalprice) AS best_config_score, round(avg(o_totalprice) + 3e-8, 4) + 0.0 AS score_mean, round(stddev_pop(o_totalprice) + 3e-8, 4) + 0.0 AS score_std, sum(o_custkey % 7)::BIGINT AS n_features_global, arg_max(o_custkey % 7, (o_totalprice, -o_orderkey)) AS n_features_best_config FROM orders GROUP BY o_orderpriority")
+def config_search_summary(spark, sf_dir):
+    configs = table(spark, sf_dir, "orders").select("o_orderpriority", F.col("o_orderkey").alias("planner_index"), F.col("o_totalprice").alias("score"), (F.col("o_custkey") % 7).alias("n_features"))
+    return rounded(R.search_summary(configs, ["o_orderpriority"]), "least", "best_config_score", places=4)
+
+
+@query("config_search_top", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 8")
+def config_search_top(spark, sf_dir):
+    return R.first_rows(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), 8, [F.desc("o_totalprice"), F.col("o_orderkey")])
+
+
+@query("feedback_risky", f"SELECT name, round(redundancy + 3e-8, 6) + 0.0 AS redundancy, round(weight_stability + 3e-8, 6) + 0.0 AS weight_stability FROM ({_FEATURES}) WHERE redundancy > 0.98 OR weight_stability < 0.25")
+def feedback_risky(spark, sf_dir):
+    return rounded(R.risky(_features(spark, sf_dir)).select("name", "redundancy", "weight_stability"))
+
+
+@query("history_tail", "SELECT event_id, user_id, value FROM events ORDER BY ts DESC, event_id DESC LIMIT 40")
+def history_tail(spark, sf_dir):
+    return R.last_rows(table(spark, sf_dir, "events"), 40, [F.col("ts"), F.col("event_id")]).select("event_id", "user_id", "value")
+
+
+@query("smoke_rows", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 24")
+def smoke_rows(spark, sf_dir):
+    return R.first_rows(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), 24, [F.col("o_orderkey")])
+
+
+@query("archive_best", "SELECT user_id, arg_min(event_id, (value, event_id)) AS event_id, min(value) AS value FROM events GROUP BY user_id")
+def archive_best(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", "value")
+    return R.best_row(e, ["user_id"], [F.col("value"), F.col("event_id")])
+
+
+@query("migration_steps", "SELECT event_id, user_id FROM events WHERE event_id > 0 AND event_id % 25 = 0")
+def migration_steps(spark, sf_dir):
+    return R.every(table(spark, sf_dir, "events"), "event_id", 25).select("event_id", "user_id")
+
+
+@query("research_medians", "SELECT event_type, round(median(value) FILTER (WHERE event_id % 10 <> 0) + 3e-8, 6) + 0.0 AS median, min(value) FILTER (WHERE event_id % 10 <> 0) AS least, max(value) FILTER (WHERE event_id % 10 <> 0) AS most, round(avg((event_id % 10 = 0)::INT) + 3e-8, 6) + 0.0 AS failure_rate FROM events GROUP BY event_type")
+def research_medians(spark, sf_dir):
+    return rounded(R.spread_of(table(spark, sf_dir, "events"), ["event_type"], "value", F.col("event_id") % 10 == 0), "least", "most")
+
+
+def _report_sql() -> str:
+    part = lambda name, role, key, source: f"SELECT '{name}' AS part, '{role}' AS role, {key} AS key, {_BREAK} FROM {source}"
+    binned = lambda v: f"(SELECT o.*, {_BIN.format(v=v)} AS bin FROM o, (SELECT list_sort(list_distinct(quantile_cont({v}, [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]))) AS e FROM o))"
+    return f"WITH o AS (SELECT *, epoch(o_orderdate)::DOUBLE AS t FROM {_ORD}) " + " UNION ALL ".join(
+        [
+            part("overall", "", "''", "o"),
+            part("target_bin", "y", "bin::VARCHAR", binned("y")) + " GROUP BY bin",
+            part("group", "o_orderstatus", "o_orderstatus", "o") + " GROUP BY o_orderstatus",
+            part("time_bin", "t", "bin::VARCHAR", binned("t")) + " GROUP BY bin",
+            part("role", "regime", "o_orderpriority", "o") + " GROUP BY o_orderpriority",
+        ]
+    )
+
+
+@query("objective_report", _report_sql())
+def objective_report(spark, sf_dir):
+    o = _orders(spark, sf_dir).withColumn("t", F.unix_timestamp(F.col("o_orderdate").cast("timestamp")).cast("double"))
+    return rounded(scoring.objective(o, "y", "p", group="o_orderstatus", time="t", roles={"regime": "o_orderpriority", "event": "o_orderstatus"}), places=4)
+
+
 # --- readouts ----------------------------------------------------------------------------
 
 
@@ -460,7 +588,39 @@ def ridge_two_features(spark, sf_dir):
     return _ridge_row(spark, linalg.ridge(table(spark, sf_dir, "lineitem"), ["l_quantity", "l_tax"], "l_extendedprice", alpha=1000.0), ["l_quantity", "l_tax"])
 
 
-@query("ridge_loo")
+def _loo_sql(xs: tuple[str, str, str], y: str, w: str, source: str = "lineitem") -> str:
+    """Leave-one-out errors of three features for each penalty, with the inverse of the 3 x 3 matrix written out."""
+    grid = ", ".join(f"({i}, {a!r}::DOUBLE)" for i, a in enumerate(map(float, linalg.ALPHAS)))
+    one = ", ".join(f"avg({x}) AS m{i}, stddev_pop({x}) AS s{i}" for i, x in enumerate(xs))
+    z = ", ".join(f"({x} - m{i}) / s{i} AS z{i}" for i, x in enumerate(xs))
+    pairs = [(i, j) for i in range(3) for j in range(i, 3)]
+    centred = ", ".join(f"z{i} - sum(u * z{i}) OVER () / sum(u) OVER () AS c{i}, sum(u * z{i}) OVER () / sum(u) OVER () AS k{i}" for i in range(3))
+    gram = ", ".join([*(f"sum(u * c{i} * c{j}) AS g{i}{j}" for i, j in pairs), *(f"sum(u * c{i} * (y - ym)) AS r{i}" for i in range(3)), *(f"any_value(k{i}) AS k{i}" for i in range(3)), "any_value(ym) AS ym"])
+    a = lambda i, j: f"a{min(i, j)}{max(i, j)}"
+    cofactor = lambda i, j: f"({a((i + 1) % 3, (j + 1) % 3)} * {a((i + 2) % 3, (j + 2) % 3)} - {a((i + 1) % 3, (j + 2) % 3)} * {a((i + 2) % 3, (j + 1) % 3)})"
+    inverse = ", ".join(f"{cofactor(j, i)} / (a00 * {cofactor(0, 0)} + a01 * {cofactor(0, 1)} + a02 * {cofactor(0, 2)}) AS v{i}{j}" for i in range(3) for j in range(3))
+    beta = ", ".join("+".join(f"v{i}{j} * r{j}" for j in range(3)) + f" AS b{i}" for i in range(3))
+    lever = " + ".join(f"c{i} * c{j} * v{i}{j}" for i in range(3) for j in range(3))
+    rows = [f"SELECT '{x}' AS feature, round(b{i} / s{i} + 3e-8, 4) + 0.0 AS coef, alpha FROM best, one" for i, x in enumerate(xs)]
+    intercept = " - ".join(["ym", *(f"(m{i} + k{i} * s{i}) * b{i} / s{i}" for i in range(3))])
+    return f"""
+WITH one AS (SELECT {one}, avg({w}) AS mw FROM {source}),
+t AS (SELECT {z}, {y} AS y, {w} / mw AS u FROM {source}, one),
+c AS (SELECT *, sum(u * y) OVER () / sum(u) OVER () AS ym, {centred} FROM t),
+g AS (SELECT {gram} FROM c),
+alphas(place, alpha) AS (VALUES {grid}),
+m AS (SELECT *, {", ".join(f"g{i}{j} + {'alpha' if i == j else '0'} AS a{i}{j}" for i, j in pairs)} FROM g, alphas),
+v AS (SELECT *, {inverse} FROM m),
+b AS (SELECT *, {beta} FROM v),
+loss AS (
+  SELECT place, sum(u * pow((y - b.ym - c0 * b0 - c1 * b1 - c2 * b2) / greatest(1 - u * ({lever}), 1e-8), 2)) AS loss
+  FROM c, b GROUP BY place),
+best AS (SELECT b.* FROM b JOIN loss USING (place) ORDER BY loss, place LIMIT 1)
+{" UNION ALL ".join(rows)} UNION ALL SELECT '(intercept)', round({intercept} + 3e-8, 4) + 0.0, alpha FROM best, one
+"""
+
+
+@query("ridge_loo", _loo_sql(("l_quantity", "l_discount", "l_tax"), "l_extendedprice", "l_quantity"))
 def ridge_loo(spark, sf_dir):
     """The penalty of the least leave-one-out error, with weights."""
     li = table(spark, sf_dir, "lineitem")
@@ -484,3 +644,42 @@ def evaluate_tabular_seed(spark, sf_dir):
 
     li = table(spark, sf_dir, "lineitem").select("l_quantity", "l_discount", "l_tax", F.col("l_extendedprice").alias("y"), F.pmod(F.xxhash64("l_orderkey"), F.lit(3)).cast("int").alias("fold"))
     return result_table(spark, evaluate(tabular_seed(), li, {"x": ["l_quantity", "l_discount", "l_tax"]}, "y", "fold"))
+
+
+def _frozen(spark, sf_dir):
+    """A readout of two columns, fitted on orders with even keys."""
+    from .plans.frozen import fit_frozen
+    from .plans.graph import Alternative, Graph
+
+    g = Graph("raw")
+    g.add("x", "input")
+    g.add("base", "intermediate", Alternative("raw", "tabular_raw", ("x",)))
+    g.add("output", "output", Alternative("raw", "pass_outputs", ("base",)))
+    li = table(spark, sf_dir, "lineitem")
+    return li, fit_frozen(g, {}, li.where("l_orderkey % 2 = 0"), {"x": ["l_quantity"]}, "l_extendedprice")
+
+
+_FROZEN_FIT = """
+WITH t AS (SELECT l_quantity AS x, l_extendedprice AS y FROM lineitem WHERE l_orderkey % 2 = 0),
+one AS (SELECT avg(x) AS m, stddev_pop(x) AS s, avg(y) AS ym, count(*) AS n, covar_pop(x, y) AS c FROM t),
+alphas(place, alpha) AS (VALUES {grid}),
+b AS (SELECT place, alpha, m, s, ym, n, n * c / s / (n + alpha) AS b FROM one, alphas),
+loss AS (SELECT place, sum(pow((y - ym - (x - m) / s * b) / greatest(1 - pow((x - m) / s, 2) / (n + alpha), 1e-8), 2)) AS loss FROM t, b GROUP BY place),
+f AS (SELECT m, s, ym, b FROM b JOIN loss USING (place) ORDER BY loss, place LIMIT 1)
+"""
+_FROZEN_FIT = _FROZEN_FIT.replace("{grid}", ", ".join(f"({i}, {a!r}::DOUBLE)" for i, a in enumerate(map(float, linalg.ALPHAS))))
+
+
+@query("frozen_predict", _FROZEN_FIT + "SELECT l_orderkey, l_linenumber, round(ym + (l_quantity - m) / s * b + 3e-8, 4) + 0.0 AS prediction FROM lineitem, f WHERE l_orderkey % 2 = 1")
+def frozen_predict(spark, sf_dir):
+    li, model = _frozen(spark, sf_dir)
+    return rounded(model.predict(li.where("l_orderkey % 2 = 1"), {"x": ["l_quantity"]}).select(*KEYS, "prediction"), places=4)
+
+
+@query("linear_contributions", _FROZEN_FIT + ", c AS (SELECT (l_quantity - m) / s * b AS v FROM lineitem, f WHERE l_orderkey % 2 = 1) SELECT 'output.raw.raw_0' AS feature, round(avg(v) + 3e-8, 4) + 0.0 AS mean, round(avg(abs(v)) + 3e-8, 4) + 0.0 AS mean_abs, round(stddev_pop(v) + 3e-8, 4) + 0.0 AS std FROM c")
+def linear_contributions(spark, sf_dir):
+    from .plans.frozen import contribution_summary
+
+    li, model = _frozen(spark, sf_dir)
+    done = model.contributions(li.where("l_orderkey % 2 = 1"), {"x": ["l_quantity"]})
+    return rounded(contribution_summary(done, list(model.features)), places=4)
