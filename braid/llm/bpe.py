@@ -3,10 +3,10 @@
 A vocabulary of ranks becomes a ``tokenizers`` BPE model whose alphabet is the usual
 byte-to-character table. Texts are cut into pieces by the pattern's rules on whole
 Arrow buffers; each different piece is encoded once, and every other place where it
-stands takes those ids. Ids are packed as little-endian unsigned 32-bit integers, so
-they pass through the JVM as one binary value for each text. Decoding reverses the
-byte table and joins bytes before it reads characters, so a character that is split
-over tokens comes back whole.
+stands takes those ids; pieces are told apart by their bytes. Ids are packed as little-endian
+unsigned 32-bit integers, so they pass through the JVM as one binary value for each text.
+Decoding takes the characters of the model's tokens back through the byte table and joins
+bytes before it reads characters, so a character that is split over tokens comes back whole.
 """
 
 from __future__ import annotations
@@ -20,14 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import fresh_names
-from .textkernel import powers, slices, spread
-from .textkernel import _BYTE, mix
+from ..tables import fresh_names
+from .textkernel import SLICE_BYTES, Numbers, slices, spread
 
 OTHER, LETTER, NUMBER, BLANK = 0, 1, 2, 3
 #: The endings that the pattern takes together with an apostrophe before them.
 ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
-CACHE_PIECES = 300_000
+#: Pieces whose ids a worker keeps, and their bytes.
+CACHE_PIECES, CACHE_BYTES = 200_000, 1 << 23
 
 
 def byte_characters() -> list[str]:
@@ -77,11 +77,10 @@ class Codec:
         self.forget()
 
     def forget(self) -> None:
-        self.places: dict[int, int] = {}
+        self.places = Numbers()
         self.flat = np.zeros(1 << 16, dtype=np.uint32)  # the ids of all pieces, one after the other
         self.begin = np.zeros(1 << 16, dtype=np.int64)
         self.size = np.zeros(1 << 16, dtype=np.int32)
-        self.check = np.zeros(1 << 16, dtype=np.int64)
         self.used = 0
 
     def piece_starts(self, code: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -117,24 +116,16 @@ class Codec:
                 start[after[after < n]] = True
         return np.flatnonzero(start)
 
-    def lookup(self, data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    def lookup(self, whole: bytes, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
         """The place of each piece (a range of bytes) among the known ones, encoding those that are new."""
-        up, down = powers("byte", len(data) + 1)
-        sums = np.zeros(len(data) + 1, dtype=np.uint64)
-        np.cumsum(_BYTE[data] * up[: len(data)], out=sums[1:])
-        size = stop - start
-        value = mix((sums[stop] - sums[start]) * down[start] + size.astype(np.uint64))
-        unique, first, inverse = np.unique(value, return_index=True, return_inverse=True)
-        if len(self.places) + len(unique) > CACHE_PIECES:
+        if self.places.count > CACHE_PIECES or self.places.bytes > CACHE_BYTES:
             self.forget()
-        check = (size[first] << 16) | (data[start[first]].astype(np.int64) << 8) | data[stop[first] - 1]
-        keys = unique.tolist()
-        new = [i for i, k in enumerate(keys) if k not in self.places]
+        n, m = self.places.count, self.used
+        at = self.places.of([whole[a:b] for a, b in zip(start.tolist(), stop.tolist(), strict=True)])
+        new, self.places.fresh = self.places.fresh, []
         if new:
-            whole = data.tobytes()
-            raw = [whole[a:b] for a, b in zip(start[first[new]].tolist(), stop[first[new]].tolist(), strict=True)]
             texts, odd = [], {}
-            for i, piece in enumerate(raw):
+            for i, piece in enumerate(new):
                 try:
                     texts.append(piece.decode())
                 except UnicodeDecodeError:
@@ -143,31 +134,26 @@ class Codec:
             found = [odd.get(i) or e.ids for i, e in enumerate(self.model.encode_batch_fast(texts, add_special_tokens=False))]
             sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
             ids = np.fromiter((x for f in found for x in f), dtype=np.uint32, count=int(sizes.sum()))
-            n, m = len(self.places), self.used
             self.flat = _room(self.flat, m + len(ids))
-            self.begin, self.size, self.check = (_room(x, n + len(new)) for x in (self.begin, self.size, self.check))
+            self.begin, self.size = (_room(x, n + len(new)) for x in (self.begin, self.size))
             self.flat[m : m + len(ids)] = ids
             self.begin[n : n + len(new)] = m + np.cumsum(sizes) - sizes
             self.size[n : n + len(new)] = sizes
-            self.check[n : n + len(new)] = check[new]
             self.used = m + len(ids)
-            self.places.update(zip((keys[k] for k in new), range(n, n + len(new)), strict=True))
-        at = np.fromiter((self.places[k] for k in keys), dtype=np.int64, count=len(keys))
-        if (self.check[at] != check).any():
-            raise ValueError("two pieces have one hash")
-        return at[inverse]
+        return at
 
     def encode(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, and the texts' bounds among them."""
         if not len(data):
             return np.zeros(0, dtype=np.uint32), np.zeros(len(bounds), dtype=np.int64)
-        code = np.frombuffer(data.tobytes().decode("utf-8", "surrogateescape").encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        whole = data.tobytes()
+        code = np.frombuffer(whole.decode("utf-8", "surrogateescape").encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         width = 1 + (code >= 0x80).astype(np.int64) + (code >= 0x800) + (code >= 0x10000)
         width[(code >= 0xDC80) & (code < 0xDD00)] = 1
         byte_at = np.append(0, np.cumsum(width))
         starts = self.piece_starts(code, np.searchsorted(byte_at, bounds))
         begin = byte_at[starts]
-        place = self.lookup(data, begin, np.append(begin[1:], len(data)))
+        place = self.lookup(whole, begin, np.append(begin[1:], len(data)))
         sizes = self.size[place]
         item, step = spread(sizes)
         ids = self.flat[self.begin[place][item] + step]
@@ -192,14 +178,32 @@ def codec(path: str) -> Codec:
 
 @lru_cache(maxsize=2)
 def token_bytes(path: str) -> list[bytes]:
-    """The bytes of each id."""
-    ranks = read_ranks(path)
-    out = [b""] * (max(ranks.values()) + 1)
-    for token, rank in ranks.items():
-        out[rank] = token
+    """The bytes of each id: its token's characters in the model's vocabulary, taken back through the byte table."""
+    byte = {char: b for b, char in enumerate(byte_characters())}
+    vocabulary = codec(path).model.get_vocab()
+    out = [b""] * (max(vocabulary.values()) + 1)
+    for token, rank in vocabulary.items():
+        out[rank] = bytes(map(byte.__getitem__, token))
     return out
 
 
+def _parts(data: np.ndarray, most_bytes: int) -> Iterator[np.ndarray]:
+    """One long text in parts of about ``most_bytes``, cut before single spaces between other characters, where a piece starts in any case."""
+    at = 0
+    while at < len(data):
+        to, step = at + most_bytes, 1 << 12
+        while to < len(data):
+            near = data[to - 1 : to + step + 1]  # the candidates, with the bytes beside them
+            solid = (near > 0x20) & (near < 0x80) & (near != 0x7F)
+            cut = np.flatnonzero((near[1:-1] == 0x20) & solid[:-2] & solid[2:])
+            if len(cut):
+                to += int(cut[0])
+                break
+            to += step
+        yield data[at:to]
+        at = to
+
+
 def _packed(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
     """A binary value for each text: 4 bytes for each number."""
     raw = np.ascontiguousarray(values, dtype="<u4")
@@ -212,7 +216,12 @@ def _encode(path: str, with_offsets: bool):
         for batch in batches:
             last = batch.num_columns - 1
             for at, to, data, bounds in slices(batch.column(last)):
-                ids, cuts = own.encode(data, bounds)
+                if len(data) > 2 * SLICE_BYTES:  # one long text
+                    parts = [own.encode(part, np.array([0, len(part)]))[0] for part in _parts(data, SLICE_BYTES)]
+                    ids = np.concatenate(parts)
+                    cuts = np.array([0, len(ids)])
+                else:
+                    ids, cuts = own.encode(data, bounds)
                 columns = [batch.column(i).slice(at, to - at) for i in range(last)]
                 more = [pa.array(np.diff(cuts)), _packed(ids, cuts)]
                 if with_offsets:

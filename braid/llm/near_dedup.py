@@ -12,11 +12,10 @@ that differ in repeats alone meet by the similarity of their sets.
 
 Texts that agree in all registers of a band meet in a bucket. A bucket links its
 members to its least member only, never all to all, and each link is verified by
-the Jaccard similarity of the two shingle sets. In buckets that still hold more than
-one component every pair across components is compared, block by block: texts of few
-shingles by their shingles, which is exact, others by one bit of each of many
-registers, which passes a pair at the threshold over if its estimate is ``SPREAD``
-standard errors low. What passes is verified like the links.
+the Jaccard similarity of the two shingle sets. A bucket that still holds more than
+one component has one that is the largest; the texts of its other components are compared with
+all texts of the bucket outside their own, block by block, by the number of shingles that two texts share.
+What passes is verified like the links.
 """
 
 from __future__ import annotations
@@ -25,37 +24,58 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .tables import fresh_names, written
-from .textkernel import Words, mix, prefix_sums, range_hash, words_of
+from ..tables import fresh_names, written
+from .textkernel import Ranges, Words, mix, segments
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 48, 7  # of texts at similarity 0.8, one pair in 80,000 shares no band
-SPREAD = 5.0  # standard errors of the registers' estimate below which a pair is not compared
-BLOCK_MEMBERS = 1024
-FINE = 4096  # registers, of one bit each, that compare members of one bucket
-FEW = 80  # shingles up to which two members of one bucket are compared by all of them
+BLOCK_MEMBERS, BLOCK_SHINGLES = 2048, 1 << 19  # of a block of a bucket, on the average
 
 
-def shingles(words: Words, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, shingle hash, weight), sorted; a text of fewer words than ``size`` is one shingle, a text without words none."""
-    hashes = words.hashes()
-    sums = prefix_sums(hashes)
-    n = np.diff(words.first)
-    short = np.flatnonzero((n > 0) & (n < size))
-    at = np.flatnonzero(words.doc[: max(0, len(hashes) - size + 1)] == words.doc[size - 1 :]) if len(hashes) >= size else np.zeros(0, dtype=np.int64)
-    start, stop = np.append(at, words.first[short]), np.append(at + size, words.first[short + 1])
-    doc, value = words.doc[start], range_hash(sums, start, stop)
+def _distinct(doc: np.ndarray, value: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows sorted by text and value, those of one text and value as one with their weights' sum."""
     order = np.lexsort((value, doc))
     doc, value = doc[order], value[order]
     new = np.ones(len(doc), dtype=bool)
     new[1:] = (doc[1:] != doc[:-1]) | (value[1:] != value[:-1])
     heads = np.flatnonzero(new)
-    return doc[heads], value[heads], np.diff(np.append(heads, len(doc)))
+    return doc[heads], value[heads], np.add.reduceat(weight[order], heads) if len(heads) else weight
+
+
+def _some_shingles(words: Words, own: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, shingle hash, weight) of the shingles that start at the first ``own`` words."""
+    hashes, _ = words.hashes()
+    ranges = Ranges(hashes, size)
+    n = np.diff(words.first)
+    short = np.flatnonzero((n > 0) & (n < size))
+    at = np.flatnonzero(words.doc[: max(0, len(hashes) - size + 1)] == words.doc[size - 1 :])[:own] if len(hashes) >= size else np.zeros(0, dtype=np.int64)
+    at = at[at < own]
+    start, length = np.append(at, words.first[short]), np.append(np.full(len(at), size), n[short])
+    doc, value = words.doc[start], ranges.of(start, length)
+    return _distinct(doc, value, np.ones(len(doc), dtype=np.int64))
+
+
+def shingles(texts: pa.Array, size: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(from, to, text, shingle hash, weight), the last three sorted, for runs of ``texts``.
+
+    A text of fewer words than ``size`` is one shingle, a text without words none. A long
+    text's shingles are gathered part by part.
+    """
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for part in segments(texts, size - 1):
+        if part.whole:
+            yield part.at, part.to, *_some_shingles(part.words, part.own, size)
+            continue
+        if len(part.words.starts) >= size:  # a last part of fewer words has no shingle of its own
+            held.append(_some_shingles(part.words, part.own, size))
+        if part.last:
+            yield part.at, part.to, *_distinct(*(np.concatenate(c) for c in zip(*held, strict=True)))
+            held = []
 
 
 def prob_minhash(doc: np.ndarray, value: np.ndarray, weight: np.ndarray, n_docs: int, m: int) -> np.ndarray:
@@ -99,16 +119,23 @@ def band_keys(registers: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def _sketch(size: int, bands: int, rows: int):
-    """(node, text) to (node, keys, low): the text's bucket in each band, and the low halves of these, packed.
+    """(node, text) to (node, n, keys, low): shingles, the text's bucket in each band, and the low halves of these, packed.
 
     A text that repeats a shingle has two buckets in each band, of both its sketches; those of weights 1 come first.
+    A task sketches copies once. Texts without words have no row.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
         for batch in batches:
-            for at, to, words in words_of(batch.column(1)):
-                doc, value, weight = shingles(words, size)
-                some = np.unique(doc)
+            new = []
+            for row, node in enumerate(batch.column(0).to_pylist()):
+                if node not in seen:
+                    seen.add(node)
+                    new.append(row)
+            batch = batch.take(pa.array(new, pa.int64()))
+            for at, _, doc, value, weight in shingles(batch.column(1), size):
+                some, n = np.unique(doc, return_counts=True)
                 if not len(some):
                     continue
                 local = np.searchsorted(some, doc)
@@ -121,53 +148,46 @@ def _sketch(size: int, bands: int, rows: int):
                 ends = np.append(0, np.cumsum(1 + np.isin(np.arange(len(some)), again)))
                 lists = pa.ListArray.from_arrays(pa.array((ends * bands).astype(np.int32)), pa.array(keys.ravel().view(np.int64)))
                 low = pa.array([keys[a:b].astype("<u4").tobytes() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(some + at)), lists, low], ["node", "keys", "low"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(some + at)), pa.array(n), lists, low], ["node", "n", "keys", "low"])
 
     return work
 
 
-def _bits(size: int):
-    """(node, text) to (node, marks, few): a bit of each of FINE registers, and the shingles if they are few.
-
-    All weights are 1, as pairs are verified by their sets. A bit is of its register's
-    holder and place together, so it is drawn anew for each register: two texts differ in
-    half of the bits where their registers differ.
-    """
-    lane = mix(np.arange(1, FINE + 1, dtype=np.uint64))
+def _sets(size: int):
+    """(node, text) to (node, held): the low halves of the text's shingles, sorted. Two texts share at least as many of these as shingles."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, to, words in words_of(batch.column(1)):
-                doc, value, _ = shingles(words, size)
-                registers = registers_of(doc, value, np.ones(len(value)), to - at, FINE)
-                packed = np.packbits((mix(registers + lane) & np.uint64(1)).astype(np.uint8), axis=1)
+            for at, to, doc, value, _ in shingles(batch.column(1), size):
                 ends = np.searchsorted(doc, np.arange(to - at + 1)).tolist()
-                few = [value[a:b].tobytes() if b - a <= FEW else None for a, b in zip(ends[:-1], ends[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), pa.array([row.tobytes() for row in packed], pa.binary()), pa.array(few, pa.binary())], ["node", "marks", "few"])
+                held = [np.sort(value[a:b].astype("<u4")).tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), pa.array(held, pa.binary())], ["node", "held"])
 
     return work
 
 
-def jaccard(left: Words, right: Words, size: int) -> np.ndarray:
-    """The similarity of the shingle sets of each pair of texts; 0 where one has none."""
-    (a, x, _), (b, y, _) = shingles(left, size), shingles(right, size)
-    n = left.n_docs
-    pair, value = np.concatenate((a, b)), np.concatenate((x, y))
-    order = np.lexsort((value, pair))
-    pair, value = pair[order], value[order]
-    both = np.bincount(pair[1:][(pair[1:] == pair[:-1]) & (value[1:] == value[:-1])], minlength=n)
-    either = np.bincount(pair, minlength=n) - both
-    return both / np.maximum(either, 1)
-
-
 def _verify(size: int, similarity: float):
-    """(u, v, text of u, text of v) to the (u, v) that are similar."""
+    """(u, v, text of u, text of v) to the (u, v) whose sets of shingles are similar; texts without words are not."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, to, left in words_of(batch.column(2)):
-                (_, _, right), = words_of(batch.column(3).slice(at, to - at), 1 << 62)
-                rows = pa.array(np.flatnonzero(jaccard(left, right, size) >= similarity) + at)
+            right = shingles(batch.column(3), size)
+            have, to_right = (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)), 0
+            for at, to, a, x, _ in shingles(batch.column(2), size):
+                # the right texts come in slices of their own: gather those up to ``to``
+                parts = [have]
+                while to_right < to:
+                    begin, to_right, b, y, _ = next(right)
+                    parts.append((b + begin, y))
+                b, y = (np.concatenate(c) for c in zip(*parts, strict=True))
+                cut = np.searchsorted(b, to)
+                have, b, y = (b[cut:], y[cut:]), b[:cut] - at, y[:cut]
+                pair, value = np.concatenate((a, b)), np.concatenate((x, y))
+                order = np.lexsort((value, pair))
+                pair, value = pair[order], value[order]
+                both = np.bincount(pair[1:][(pair[1:] == pair[:-1]) & (value[1:] == value[:-1])], minlength=to - at)
+                either = np.bincount(pair, minlength=to - at) - both
+                rows = pa.array(np.flatnonzero((both > 0) & (both / np.maximum(either, 1) >= similarity)) + at)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows)], ["u", "v"])
 
     return work
@@ -205,8 +225,8 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterat
         yield table, np.append(cut(table), table.num_rows)
 
 
-def _in_common(sets: list[np.ndarray], x: np.ndarray, y: np.ndarray, same: bool) -> np.ndarray:
-    """How many elements each of the sets ``x`` shares with each other one of the sets ``y``."""
+def _in_common(sets: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many elements each of the sets ``x`` shares with each of the sets ``y``; repeats within a set count once."""
 
     def held(value: np.ndarray, row: np.ndarray, n: int, part: np.ndarray) -> np.ndarray:
         place = np.minimum(np.searchsorted(part, value), len(part) - 1)
@@ -219,8 +239,7 @@ def _in_common(sets: list[np.ndarray], x: np.ndarray, y: np.ndarray, same: bool)
         return np.concatenate([sets[i] for i in at]), np.repeat(np.arange(len(at)), [len(sets[i]) for i in at])
 
     (u, left), (v, right) = flat(x), flat(y)
-    found, times = np.unique(v, return_counts=True)
-    both = found[times > 1] if same else np.intersect1d(u, found)
+    both = np.intersect1d(u, v)
     out = np.zeros((len(x), len(y)), dtype=np.float32)
     for at in range(0, len(both), 2048):
         part = both[at : at + 2048]
@@ -237,42 +256,32 @@ def _first_shared(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.where(shared, p[row, :, band], np.uint32(0xFFFFFFFF)).min(axis=1)
 
 
-def _alike(least: float, similarity: float, bands: int):
-    """Members of buckets, in blocks, to the pairs of different components that are similar.
+def _alike(similarity: float, bands: int):
+    """Members of buckets, in blocks, to the pairs of different components that may be similar.
 
-    Two texts of few shingles are compared by these; others are taken for similar if their
-    marks agree in the part ``least`` of their registers. A pair comes out of one bucket
-    only: that of the first band that its texts share.
+    A pair passes if its texts share enough (halves of) shingles for their numbers. It comes out of
+    one bucket only: that of the first band that its texts share.
     """
-    most = int((1 - least) / 2 * FINE)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, bounds in _whole_groups(batches, ["key", "i", "j"]):
-            block, i, j, component = (table.column(c).to_numpy() for c in ("block", "i", "j", "component"))
-            marks = np.frombuffer(b"".join(table.column("marks").to_pylist()), dtype=np.uint64).reshape(len(block), FINE // 64)
+            block, i, j, component, n = (table.column(c).to_numpy() for c in ("block", "i", "j", "component", "n"))
             # the two sketches of a text without repeats are one
             low = np.frombuffer(b"".join(b if len(b) == 8 * bands else b + b for b in table.column("low").to_pylist()), dtype="<u4").reshape(-1, 2, bands)
             own = table.column("key").to_numpy().view(np.uint64).astype(np.uint32)
-            few = table.column("few").to_pylist()
-            short = np.array([b is not None for b in few])
-            sets = [np.frombuffer(b or b"", dtype=np.uint64) for b in few]
-            size = np.array([len(b) for b in sets])
+            sets = [np.frombuffer(b, dtype="<u4") for b in table.column("held").to_pylist()]
             left, right = [], []
             for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                 same = i[a] == j[a]
                 x = np.arange(a, b) if same else a + np.flatnonzero(block[a:b] == i[a])
                 y = x if same else a + np.flatnonzero(block[a:b] == j[a])
-                exact = short[x].any() and short[y].any()
-                common = _in_common(sets, x, y, same) if exact else None
-                step = max(1, (1 << 19) // max(1, len(y) * FINE // 64))
+                if not len(x) or not len(y):
+                    continue
+                step = max(1, (1 << 20) // len(y))
                 for at in range(0, len(x), step):
                     some = x[at : at + step]
-                    differ = np.bitwise_count(marks[some][:, None, :] ^ marks[y][None, :, :]).sum(axis=2, dtype=np.int32)
-                    ok = differ <= most
-                    if exact:
-                        both = common[at : at + step].astype(np.int64)
-                        near = both / np.maximum(size[some][:, None] + size[y][None, :] - both, 1) >= similarity
-                        ok = np.where(short[some][:, None] & short[y][None, :], near, ok)
+                    both = _in_common(sets, some, y)
+                    ok = both >= similarity / (1 + similarity) * (n[some][:, None] + n[y][None, :]) - 0.01  # what passes is verified
                     ok &= component[some][:, None] != component[y][None, :]
                     if same:
                         ok &= some[:, None] < y[None, :]
@@ -287,20 +296,36 @@ def _alike(least: float, similarity: float, bands: int):
     return work
 
 
-def _rest(buckets: DataFrame, sketches: DataFrame, linked: DataFrame, texts: DataFrame, tried: DataFrame, size: int, similarity: float, bands: int, block: int) -> DataFrame:
-    """Links inside buckets that hold several components, whatever the bucket's size."""
-    member = buckets.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = member.groupBy("key").agg(F.count("*").alias("members"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key", F.ceil(F.col("members") / block).cast("int").alias("blocks"))
-    left = written(member.join(mixed, "key"), "mixed-buckets")
-    marks = texts.join(left.select("node").distinct(), "node", "left_semi").select("node", "text").mapInArrow(_bits(size), "node binary, marks binary, few binary")
-    low = sketches.select("node", "low").join(left.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
-    dealt = left.join(marks, "node").join(low, "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
-    n = int(buckets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = dealt.select("key", "i", "j", "block", "node", F.xxhash64("component").alias("component"), "marks", "few", "low").repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j")
-    agree = (1 + similarity) / 2  # the chance that a bit of two texts at the threshold is equal
-    least = similarity - SPREAD * 2 * (agree * (1 - agree) / FINE) ** 0.5
-    alike = dealt.mapInArrow(_alike(least, similarity, bands), "u binary, v binary")
+def _blocks(n: str, members: str, most: int) -> Column:
+    """How many blocks so many shingles and members take."""
+    return F.greatest(F.ceil(F.col(n) / BLOCK_SHINGLES), F.ceil(F.col(members) / most)).cast("int")
+
+
+def _rest(buckets: DataFrame, sketches: DataFrame, linked: DataFrame, texts: DataFrame, tried: DataFrame, size: int, similarity: float, bands: int, most: int) -> DataFrame:
+    """Links inside buckets that hold several components, whatever the bucket's size.
+
+    Texts of the bucket's largest component are compared with those of its other components only,
+    so a large group with few strays costs its size times theirs.
+    """
+    about = sketches.select("node", "n", "low").join(buckets.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    member = buckets.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node")).join(about.select("node", "n"), "node")
+    member = written(member.select("key", "node", "component", "n"), "members")
+    parts = member.groupBy("key", "component").agg(F.count("*").alias("members"), F.sum("n").alias("n"))
+    mixed = parts.groupBy("key").agg(F.max(F.struct("n", "component", "members")).alias("major"), F.sum("n").alias("all_n"), F.sum("members").alias("all_members")).where(F.col("all_members") > F.col("major.members"))
+    mixed = mixed.withColumns({"minor_n": F.col("all_n") - F.col("major.n"), "minor_members": F.col("all_members") - F.col("major.members")})
+    mixed = mixed.select("key", F.col("major.component").alias("major"), _blocks("minor_n", "minor_members", most).alias("minors"), _blocks("major.n", "major.members", most).alias("majors"))
+    left = written(member.join(written(mixed, "mixed"), "key"), "mixed-buckets")
+    some = left.select("node").distinct()
+    held = written(texts.join(some, "node", "left_semi").select("node", "text").mapInArrow(_sets(size), "node binary, held binary").join(about.select("node", "low"), "node"), "shingle-sets")
+    minor = F.col("component") != F.col("major")
+    dealt = F.pmod(F.xxhash64("node"), F.when(minor, F.col("minors")).otherwise(F.col("majors"))).cast("int")
+    rows = left.withColumn("block", F.when(minor, dealt).otherwise(F.col("minors") + dealt))
+    # a text of a minor component meets every block, one of the major component the minor blocks
+    meets = F.when(minor, F.col("minors") + F.col("majors")).otherwise(F.col("minors"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), meets - 1))).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
+    rows = rows.join(held, "node").select("key", "i", "j", "block", "node", F.xxhash64("component").alias("component"), "n", "held", "low")
+    tasks = int(buckets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    alike = rows.repartition(tasks, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_alike(similarity, bands), "u binary, v binary")
     pairs = alike.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     return _verified(pairs.join(tried, ["u", "v"], "left_anti"), texts, size, similarity)
 
@@ -344,11 +369,12 @@ def _classed(
     plain = keyed.select(F.col(node).alias("node"), F.col(id_col).alias("id"), text.alias("text"))
     nodes = plain.groupBy("node").agg(F.min("id").alias("id"))
 
-    sketches = written(plain.select("node", "text").mapInArrow(_sketch(shingle_words, bands, rows), "node binary, keys array<long>, low binary"), "sketches")
+    sketches = written(plain.select("node", "text").mapInArrow(_sketch(shingle_words, bands, rows), "node binary, n long, keys array<long>, low binary"), "sketches")
     entries = sketches.select("node", F.explode("keys").alias("key"))
-    # copies have equal sketches: the first aggregate takes them together
+    # copies have equal sketches: the first aggregate takes together those that tasks have left
     buckets = entries.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("key", "least")
-    members = written(entries.join(buckets, "key").distinct(), "buckets")
+    buckets = written(buckets, "bucket-heads")  # Spark splits the join of a hot bucket only between plain shuffles
+    members = written(written(entries.join(buckets, "key"), "entries").distinct(), "buckets")
     pairs = members.where("node > least").select(F.col("node").alias("u"), F.col("least").alias("v")).distinct()
     pairs = written(pairs, "pairs")
     met = members.select("node").distinct().join(nodes, "node")
@@ -360,10 +386,10 @@ def _classed(
     more = written(_rest(members.select("key", "node"), sketches, linked, texts, pairs, shingle_words, similarity, bands, block_members), "links")
     if not more.isEmpty():
         linked = components(edges.union(more))
-    linked = nodes.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = linked.groupBy("component").agg(F.min("id").alias("class"))
+    linked = written(nodes.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node")), "nodes")
+    least = written(linked.groupBy("component").agg(F.min("id").alias("class")), "components")
     classes = linked.select("node", "component").join(least, "component").select(F.col("node").alias(node), F.col("class").alias(name), F.col("component").alias(component))
-    return keyed.join(classes, node).drop(node), name, component
+    return keyed.join(written(classes, "classes"), node).drop(node), name, component
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:

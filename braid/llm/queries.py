@@ -23,7 +23,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = substring_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"), min_words=35)
+    done = substring_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"), min_words=35, keep_text=False)
     return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 

@@ -1,61 +1,5 @@
-"""Tables between the steps of an operator.
+"""The tables that operators keep between their steps; see :mod:`braid.tables`."""
 
-A step whose rows are needed more than once is written as Parquet under
-``spark.checkpoint.dir``, the folder that the cluster shares, and read again.
-That cuts lineage: a lost executor costs only the tasks that it ran.
-"""
+from ..tables import finished, fresh_names, fresh_path, release, shared_dir, written
 
-from __future__ import annotations
-
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-_written: dict[str, list[str]] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, or one set here where the session names none (as in tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = spark.conf.get("spark.braid.scratch", None)
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="braid-")
-        spark.conf.set("spark.braid.scratch", at)
-    return at.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    at = f"{shared_dir(spark)}/braid/{name}-{uuid.uuid4().hex}"
-    _written.setdefault(spark.sparkContext.applicationId, []).append(at)
-    return at
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df``, computed once, from a table in the shared folder."""
-    spark = df.sparkSession
-    at = fresh_path(spark, name)
-    df.write.option("compression", "zstd").parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
-
-
-def release(spark: SparkSession) -> None:
-    """Delete every table that this application wrote. Results that still read them fail afterwards."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for at in _written.pop(spark.sparkContext.applicationId, []):
-        path = jvm.org.apache.hadoop.fs.Path(at)
-        path.getFileSystem(conf).delete(path, True)
-
-
-def fresh_names(df: DataFrame, *wanted: str) -> list[str]:
-    """Names near ``wanted`` that no column of ``df`` has, in any case."""
-    taken = {c.lower() for c in df.columns}
-    out = []
-    for name in wanted:
-        while name.lower() in taken:
-            name = "_" + name
-        taken.add(name.lower())
-        out.append(name)
-    return out
+__all__ = ["finished", "fresh_names", "fresh_path", "release", "shared_dir", "written"]
