@@ -14,11 +14,12 @@ strata lose at most ``alpha`` of their good texts.
 from __future__ import annotations
 
 from functools import reduce
+from math import lgamma, log, pi
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import fresh_names, written
+from ..tables import fresh_names, written
 
 BLANKS = " \t\n\x0b\f\r"
 #: The characters that count as symbols.
@@ -73,19 +74,43 @@ def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return done.drop(*(names[x] for x in "twhgsp"))
 
 
+#: ln n! less its Stirling approximation, of the first numbers; the rest by the series.
+_STIRLING_ERRORS = (0.0, *(lgamma(n + 1) - (n + 0.5) * log(n) + n - log(2 * pi) / 2 for n in range(1, 16)))
+
+
+def _stirling_error(n: Column) -> Column:
+    square = n * n
+    series = (F.lit(1 / 12) - (F.lit(1 / 360) - (F.lit(1 / 1260) - F.lit(1 / 1680) / square) / square) / square) / n
+    return F.when(n < len(_STIRLING_ERRORS), F.get(F.array(*map(F.lit, _STIRLING_ERRORS)), n.cast("int"))).otherwise(series)
+
+
+def _chance_of(k: Column, n: Column, rate: float) -> Column:
+    """The logarithm of P(Bin(n, rate) = k) for 0 < k < n, by the saddle point: exact to rounding at any size."""
+    apart = lambda x, m: x * F.log(x / m) + m - x
+    errors = _stirling_error(n) - _stirling_error(k) - _stirling_error(n - k)
+    return errors - apart(k, n * rate) - apart(n - k, n * (1 - rate)) + F.log(n / (F.lit(2 * pi) * k * (n - k))) / 2
+
+
 def chance_at_most(k: Column, n: Column, rate: float) -> Column:
-    """P(Bin(n, rate) <= k), summed in logarithms; 1 where k is at its mean or above, which no test passes."""
-    odds = F.log(F.lit(rate / (1 - rate)))
-    first = n.cast("double") * F.log1p(F.lit(-rate))
+    """P(Bin(n, rate) <= k); 1 where k is at its mean or above, which no test passes.
+
+    Terms are summed from k down, each from the one before, as far as they count at all: below the
+    mean they fall at least as fast as those of a normal curve, so about 9 of its spreads are enough.
+    """
+    wide, whole = n.cast("double"), k.cast("double")
+    terms = F.least(k, F.ceil(10 * F.sqrt(wide * rate)).cast("long") + 50)
+    odds = (1 - rate) / rate
 
     def add(a: Column, i: Column) -> Column:
-        term = a["term"] + F.log((n - i + 1).cast("double") / i.cast("double")) + odds
-        top = F.greatest(a["total"], term)
-        return F.struct(term.alias("term"), (top + F.log1p(F.exp(F.least(a["total"], term) - top))).alias("total"))
+        term = a["term"] * (i + 1) * odds / (wide - i)
+        return F.struct(term.alias("term"), (a["total"] + term).alias("total"))
 
-    steps = F.when(k > 0, F.sequence(F.lit(1).cast("long"), k)).otherwise(F.array().cast("array<bigint>"))
-    total = F.aggregate(steps, F.struct(first.alias("term"), first.alias("total")), add, lambda a: F.exp(a["total"]))
-    return F.when(k >= n * rate, F.lit(1.0)).otherwise(total)
+    # i runs over k - 1, k - 2, ...
+    steps = F.when(terms > 0, F.transform(F.sequence(F.lit(1).cast("long"), terms), lambda j: (k - j).cast("double"))).otherwise(F.array().cast("array<double>"))
+    one = F.lit(1.0)
+    total = F.aggregate(steps, F.struct(one.alias("term"), one.alias("total")), add, lambda a: a["total"])
+    first = F.when(k == 0, wide * F.log1p(F.lit(-rate))).otherwise(_chance_of(whole, wide, rate))
+    return F.when(k >= n * rate, F.lit(1.0)).otherwise(F.exp(first + F.log(total)))
 
 
 def _value(rule: str, counts: dict[str, str]) -> Column:
@@ -93,7 +118,7 @@ def _value(rule: str, counts: dict[str, str]) -> Column:
     return F.when(F.col(counts[under]) > 0, F.col(counts[over]) / F.col(counts[under])).otherwise(F.lit(0.0))
 
 
-def cutoffs(labelled: DataFrame, counts: dict[str, str], alpha: float, delta: float) -> DataFrame:
+def cutoffs(labelled: DataFrame, counts: dict[str, str], alpha: float, delta: float, names: dict[str, str]) -> DataFrame:
     """(stratum, a cutoff column for each rule, null where the rule is off) from rows (stratum, good, counts)."""
     tries = len(next(iter(RULES.values()))[2])
     level = lambda rule: reduce(lambda a, b: a + b, ((_value(rule, counts) > c).cast("int") for c in RULES[rule][2]))
@@ -106,7 +131,7 @@ def cutoffs(labelled: DataFrame, counts: dict[str, str], alpha: float, delta: fl
     passed = tried.where((F.col("kb.b") > 0) & (chance_at_most(F.col("kb.k"), F.col("n"), alpha / len(RULES)) <= F.lit(delta / (len(RULES) * tries)) / F.col("strata")))
     best = passed.groupBy("stratum", "rule").agg(F.max(F.struct(F.col("kb.b").alias("b"), (-F.col("j")).alias("j"))).alias("best"))
     grid = lambda r: F.get(F.array(*map(F.lit, RULES[r][2])), -F.col("best.j"))
-    return best.groupBy("stratum").agg(*(F.max(F.when(F.col("rule") == r, grid(r))).alias(f"cut_{r}") for r in RULES))
+    return best.groupBy("stratum").agg(*(F.max(F.when(F.col("rule") == r, grid(r))).alias(names[r]) for r in RULES))
 
 
 def quality_rules(
@@ -128,19 +153,20 @@ def quality_rules(
     of them in repeated windows. ``labels`` has ids and a column that is 1 for good texts
     and 0 for bad ones; null labels and null ids are no labels, and an id with several
     labels is good if one is. Null strata are one stratum. A stratum without labels has no
-    cutoffs: nothing is rejected there beyond the base. Equal rows get equal verdicts;
-    names that are taken get a leading underscore.
+    cutoffs: nothing is rejected there beyond the base. Equal rows get equal verdicts, an empty
+    table gives none; names that are taken get a leading underscore.
     """
     measures = measured(docs, text_col)
     names = dict(zip(COUNTS, fresh_names(docs, *COUNTS), strict=True))
     plain = measures if keep_text else measures.drop(text_col)
     rows = written(plain, "measures")
-    base, kept, stratum = fresh_names(rows, "base_failed", "kept", "b_stratum")
+    base, kept, stratum, *taken = fresh_names(rows, "base_failed", "kept", "b_stratum", *(f"cut_{r}" for r in RULES))
+    cuts = dict(zip(RULES, taken, strict=True))
     good = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("b_id")).agg((F.max(label_col) > 0).alias("good"))
     labelled = rows.select(F.col(id_col).alias("b_id"), F.col(stratum_col).alias("stratum"), *names.values()).join(good, "b_id")
-    cut = written(cutoffs(labelled, names, alpha, delta).withColumnRenamed("stratum", stratum), "cutoffs")
+    cut = written(cutoffs(labelled, names, alpha, delta, cuts).withColumnRenamed("stratum", stratum), "cutoffs")
     judged = rows.join(cut, F.col(stratum_col).eqNullSafe(F.col(stratum)), "left")
     n, repeats = F.col(names["n_words"]), F.col(names["n_repeat_words"])
     failed = (n < least_words) | (100 * repeats > most_repeat * n)
-    above = reduce(lambda a, b: a | b, (F.coalesce(_value(r, names) > F.col(f"cut_{r}"), F.lit(False)) for r in RULES))
+    above = reduce(lambda a, b: a | b, (F.coalesce(_value(r, names) > F.col(cuts[r]), F.lit(False)) for r in RULES))
     return judged.withColumns({base: failed, kept: ~failed & ~above}).select(*rows.columns, base, kept)
