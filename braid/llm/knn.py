@@ -5,10 +5,11 @@ cell's summary is its size, its radius and the largest norm in it. From the summ
 alone each query gets, for every cell, an upper and a lower bound of its products with
 the cell's vectors: q.p +- |q| r. The cells with the greatest lower bounds that hold k
 others fix a product that the k-th best cannot fall short of, and the query is
-replicated only to cells whose upper bound reaches it. Cells are solved apart, in blocks of
-bounded size on both sides; the best k of each block are merged.
+replicated only to cells whose upper bound reaches it. Cells are solved apart: a task holds a block
+of a cell's queries and streams a part of the cell's vectors past them; the best k of each are merged.
 
-A cell of any size is split into hashed blocks, and so are the queries that visit it.
+The queries that visit a cell are split into numbered blocks of bounded size, and a vector is copied
+to those blocks only, once for each; a cell of any size is split into hashed parts.
 """
 
 from __future__ import annotations
@@ -17,16 +18,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .tables import written
+from ..tables import written
 
 PIVOTS = 48
 PIVOT_SAMPLE = 4096
-DATA_BLOCK = 4096
-QUERY_BLOCK = 1024
+DATA_BLOCK = 1 << 16  # vectors that a task streams past a block of queries, on the average
+QUERY_BLOCK = 1 << 13  # queries that a task holds, on the average
 SLACK = 1e-6  # relative; bounds are in floating point, products are not
 
 
@@ -108,29 +110,84 @@ def _route(pivots: np.ndarray, cells: np.ndarray, sizes: np.ndarray, radius: np.
     return work
 
 
+class _Best:
+    """The ``k`` best of each query so far: greatest scores, ties to the smaller id."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int):
+        self.ids, self.vectors, self.k = ids, vectors, k
+        self.score = np.full((len(ids), k), -(2**63), dtype=np.int64)
+        self.place = np.full((len(ids), k), 2**63 - 1, dtype=np.int64)
+        self.have = np.zeros(len(ids), dtype=np.int64)
+
+    def see(self, ids: np.ndarray, data: np.ndarray) -> None:
+        """Take in a batch of candidates."""
+        width = max(self.vectors.shape[1], data.shape[1])
+        data = np.pad(data, ((0, 0), (0, width - data.shape[1])))
+        self.vectors = np.pad(self.vectors, ((0, 0), (0, width - self.vectors.shape[1])))
+        step = max(1, (1 << 21) // max(1, len(ids)))
+        for at in range(0, len(self.ids), step):
+            own = slice(at, at + step)
+            score = products(self.vectors[own], data)
+            # a full list keeps out what is below its last
+            row, col = np.nonzero(((score >= self.score[own, -1:]) | (self.have[own, None] < self.k)) & (ids[None, :] != self.ids[own, None]))
+            if not len(row):
+                continue
+            held_row, held_col = np.nonzero(np.arange(self.k) < self.have[own, None])
+            row_all = np.append(held_row, row)
+            score_all = np.append(self.score[own][held_row, held_col], score[row, col])
+            id_all = np.append(self.place[own][held_row, held_col], ids[col])
+            order = np.lexsort((id_all, ~score_all, row_all))  # ~x falls as x grows
+            row_all, score_all, id_all = row_all[order], score_all[order], id_all[order]
+            rank = np.arange(len(row_all)) - np.searchsorted(row_all, row_all)
+            top = rank < self.k
+            row_all, rank = row_all[top] + at, rank[top]
+            self.score[row_all, rank], self.place[row_all, rank] = score_all[top], id_all[top]
+            np.maximum.at(self.have, row_all, rank + 1)
+
+    def rows(self) -> pa.RecordBatch:
+        row, col = np.nonzero(np.arange(self.k) < self.have[:, None])
+        return pa.RecordBatch.from_arrays([pa.array(self.ids[row]), pa.array(self.place[row, col]), pa.array(self.score[row, col])], ["query_id", "vec_id", "score"])
+
+
+def _vectors(column: pa.Array) -> np.ndarray:
+    """The rows of a list column, padded with zeros."""
+    sizes = np.diff(column.offsets.to_numpy())
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    out = np.zeros((len(sizes), int(sizes.max(initial=0))))
+    out[np.arange(out.shape[1]) < sizes[:, None]] = flat
+    return out
+
+
 def _solve(k: int):
-    def best(keys, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = {"query_id": [], "vec_id": [], "score": []}
-        if len(left) and len(right):
-            width = max(max(map(len, left["v"])), max(map(len, right["v"])))
-            ids, own = right["id"].to_numpy(), left["id"].to_numpy()
-            order = np.argsort(ids, kind="stable")
-            ids, data = ids[order], _matrix(right["v"].tolist(), width)[order]
-            for at in range(0, len(left), 128):
-                score = products(_matrix(left["v"].iloc[at : at + 128].tolist(), width), data)
-                for query, row in zip(own[at : at + 128], score, strict=True):
-                    row, others = row[ids != query], ids[ids != query]
-                    top = np.argsort(-row, kind="stable")[:k] if len(row) <= 4 * k else None
-                    if top is None:  # the k greatest, ties to the smaller id
-                        edge = np.partition(row, len(row) - k)[len(row) - k]
-                        near = np.flatnonzero(row >= edge)
-                        top = near[np.argsort(-row[near], kind="stable")[:k]]
-                    out["query_id"] += [query] * len(top)
-                    out["vec_id"] += others[top].tolist()
-                    out["score"] += row[top].tolist()
-        return pd.DataFrame(out).astype("int64")
-
-    return best
+    """(cell, b, q, asks, id, v), sorted so that each group's queries come before its vectors, to each query's best in the group."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, queries, best = None, [], None
+        for batch in batches:
+            keys = np.column_stack([batch.column(i).to_numpy() for i in range(3)])
+            asks = batch.column(3).to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(keys)], strict=True):
+                if a == b:
+                    continue
+                if group != (now := tuple(keys[a].tolist())):
+                    if best:
+                        yield best.rows()
+                    group, queries, best = now, [], None
+                ids, vectors = batch.column(4).slice(a, b - a).to_numpy(), _vectors(batch.column(5).slice(a, b - a))
+                own = asks[a:b].astype(bool)
+                if own.any():
+                    queries.append((ids[own], vectors[own]))
+                if not own.all():
+                    if best is None and queries:
+                        width = max(v.shape[1] for _, v in queries)
+                        best = _Best(np.concatenate([i for i, _ in queries]), np.concatenate([np.pad(v, ((0, 0), (0, width - v.shape[1]))) for _, v in queries]), k)
+                    if best:
+                        best.see(ids[~own], vectors[~own])
+        if best:
+            yield best.rows()
+
+    return work
 
 
 def top_products(
@@ -152,7 +209,8 @@ def top_products(
     part. A shorter vector counts as padded with zeros. A query's own id is no candidate;
     rows that share an id are candidates each, and queries of one id are one query, the
     first by vector. Pivots come from PIVOT_SAMPLE rows at most, those of least hashed
-    id; they change the work, not the result.
+    id; they change the work, not the result. An empty table gives no rows; other columns,
+    whatever their names, do not matter.
     """
     spark = vectors.sparkSession
     whole = F.transform(F.col(vector_col).cast("array<double>"), lambda x: F.floor(x * F.lit(float(scale))).cast("double"))
@@ -166,13 +224,19 @@ def top_products(
     summary = data.groupBy("cell").agg(F.count("*").alias("n"), F.max("radius").alias("r")).orderBy("cell").toPandas()  # a row for each pivot at most
     cells, sizes = summary["cell"].to_numpy(), summary["n"].to_numpy()
     asks = data.where("asks").groupBy("id").agg(F.min("v").alias("v"))
-    routed = asks.mapInPandas(_route(points, cells, sizes, summary["r"].to_numpy(), k), "id long, v array<double>, cell long")
-    blocks = spark.createDataFrame([(int(c), -(-int(n) // data_block)) for c, n in zip(cells, sizes, strict=True)], "cell long, blocks long")
-    n_queries = asks.count()
-    query_blocks = max(1, -(-n_queries // query_block))
-    left = routed.join(blocks, "cell").withColumn("q", F.pmod(F.xxhash64("id"), F.lit(query_blocks))).withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    right = data.join(blocks, "cell").withColumn("b", F.pmod(F.xxhash64("id"), F.col("blocks"))).withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(query_blocks - 1).cast("long"))))
+    routed = written(asks.mapInPandas(_route(points, cells, sizes, summary["r"].to_numpy(), k), "id long, v array<double>, cell long"), "routed")
+    visits = routed.groupBy("cell").agg(F.count("*").alias("visits"))
+    blocks = F.ceil(F.col("visits") / F.lit(float(query_block)))
+    parts = {int(c): -(-int(n) // data_block) for c, n in zip(cells, sizes, strict=True)}
+    about = spark.createDataFrame(list(parts.items()), "cell long, parts long").join(visits, "cell").select("cell", "parts", blocks.alias("blocks"))  # a row for each pivot at most
+    hashed = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     keys = ["cell", "b", "q"]
-    solved = left.select(*keys, "id", "v").groupBy(*keys).cogroup(right.select(*keys, "id", "v").groupBy(*keys)).applyInPandas(_solve(k), "query_id long, vec_id long, score long")
+    left = routed.join(F.broadcast(about), "cell").withColumn("q", hashed("blocks")).withColumn("b", each("parts")).select(*keys, F.lit(True).alias("asks"), "id", "v")
+    right = data.join(F.broadcast(about), "cell").withColumn("b", hashed("parts")).withColumn("q", each("blocks")).select(*keys, F.lit(False).alias("asks"), "id", "v")
+    blocks_of = {r.cell: r.blocks for r in about.collect()}
+    copies = sum(int(n) * blocks_of.get(int(c), 0) for c, n in zip(cells, sizes, strict=True))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(copies) // data_block))
+    solved = left.union(right).repartition(tasks, *keys).sortWithinPartitions(*keys, F.desc("asks")).mapInArrow(_solve(k), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return solved.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
