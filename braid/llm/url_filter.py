@@ -14,7 +14,8 @@ A template's purity is the bad part of its labelled pages, shrunk to its host's,
 shrunk to that of all pages. Templates above ``reject`` are blocked.
 
 All of it is aggregation by (host, template, segment): a host with a third of all pages is
-summed map-side, and no branch is compared with each other branch, only with the pool.
+summed map-side, and no branch is compared with each other branch, only with the pool. Where rows
+meet their node's sums they are written before they are summed again, so that Spark can split the join of a hot host.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import fresh_names, written
+from ..tables import fresh_names, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WILD, STOP = "*", ""
@@ -76,12 +77,15 @@ def templates(urls: DataFrame, many: int = 8, rare: float = 0.05, similar: float
         here = F.coalesce(F.get("segments", F.lit(level)), F.lit(STOP))
         then = _shape(F.coalesce(F.get("segments", F.lit(level + 1)), F.lit(STOP)))
         rows = rows.withColumns({"segment": here, "next": then})
-        shapes = rows.groupBy("host", "template", "segment", "next").agg(F.sum("n").alias("n"), F.sum("seen").alias("seen"), F.sum("bad").alias("bad"), F.count("*").alias("paths"))
+        shapes = written(rows.groupBy("host", "template", "segment", "next").agg(F.sum("n").alias("n"), F.sum("seen").alias("seen"), F.sum("bad").alias("bad"), F.count("*").alias("paths")), "url-branches")
         branch = shapes.groupBy("host", "template", "segment").agg(F.sum("n").alias("n"), F.sum("seen").alias("seen"), F.sum("bad").alias("bad"), F.sum("paths").alias("paths"))
+        branch = written(branch, "url-segments")
         node = branch.where(F.col("segment") != STOP).groupBy("host", "template").agg(F.count("*").alias("children"), F.sum("n").alias("all_n"), F.sum("seen").alias("all_seen"), F.sum("bad").alias("all_bad"))
+        node = written(node, "url-nodes")
         pool = shapes.where(F.col("segment") != STOP).groupBy("host", "template", "next").agg(F.sum("n").alias("pool_n"))
         # Bhattacharyya coefficient of the branch's continuations and the pool's
-        joined = shapes.join(pool, ["host", "template", "next"]).join(node, ["host", "template"])
+        kinds = written(pool.join(node.select("host", "template", "all_n"), ["host", "template"]), "url-kinds")
+        joined = written(shapes.join(kinds, ["host", "template", "next"]), "url-shapes")
         alike = joined.groupBy("host", "template", "segment").agg(F.sum(F.sqrt(F.col("n") * F.col("pool_n") / F.col("all_n"))).alias("common"))
         judged = branch.where(F.col("segment") != STOP).join(node, ["host", "template"]).join(alike, ["host", "template", "segment"])
         distance = F.sqrt(F.greatest(F.lit(0.0), 1 - F.col("common") / F.sqrt("n")))
