@@ -114,3 +114,124 @@ FROM m LEFT JOIN c ON m.lang IS NOT DISTINCT FROM c.lang
 
 
 ORACLES["op10_quality_rules"] = _quality_sql()
+
+
+def _hilbert_steps(table: str, bits: int) -> tuple[str, str]:
+    """CTEs that turn the coordinates x0, x1, x2 of ``table`` into their Hilbert place, one step each; and the last one's name."""
+    steps = []
+
+    def add(replaced: str) -> None:
+        steps.append(f"h{len(steps)} AS (SELECT * REPLACE ({replaced}) FROM {f'h{len(steps) - 1}' if steps else table})")
+
+    for level in range(bits - 1, 0, -1):
+        low = (1 << level) - 1
+        for i in range(3):
+            is_set = f"(x{i} >> {level}) & 1 = 1"
+            if i == 0:
+                add(f"CASE WHEN {is_set} THEN xor(x0, {low}) ELSE x0 END AS x0")
+            else:
+                add(f"CASE WHEN {is_set} THEN xor(x0, {low}) ELSE xor(x0, xor(x0, x{i}) & {low}) END AS x0, CASE WHEN {is_set} THEN x{i} ELSE xor(x{i}, xor(x0, x{i}) & {low}) END AS x{i}")
+    add("xor(x1, x0) AS x1, xor(x2, xor(x1, x0)) AS x2")
+    turn = "0"
+    for level in range(bits - 1, 0, -1):
+        turn = f"xor({turn}, CASE WHEN (x2 >> {level}) & 1 = 1 THEN {(1 << level) - 1} ELSE 0 END)"
+    add(", ".join(f"xor(x{i}, {turn}) AS x{i}" for i in range(3)))
+    place = " + ".join(f"((x{i} >> {level}) & 1) * {1 << (3 * level + 2 - i)}" for level in range(bits) for i in range(3))
+    last = f"h{len(steps)}"
+    steps.append(f"{last} AS (SELECT *, {place} AS place FROM h{len(steps) - 1})")
+    return ",\n".join(steps), last
+
+
+def _crc_table() -> list[int]:
+    """The table of CRC-32 by bytes, from its polynomial."""
+    table = []
+    for byte in range(256):
+        for _ in range(8):
+            byte = byte >> 1 ^ 0xEDB88320 * (byte & 1)
+        table.append(byte)
+    return table
+
+
+def _sharding_sql(shards: int = 8) -> str:
+    from .sharding import BITS, BUCKETS
+
+    steps, last = _hilbert_steps("cells", BITS)
+    side = 1 << BITS
+    crc = f"list_reduce(list_transform(range(octet_length(encode(t))), lambda i: ('0x' || substr(hex(encode(t)), (2 * i + 1)::INT, 2))::BIGINT), lambda a, b: xor(a >> 8, ({_crc_table()})[(xor(a, b) & 255) + 1]), 4294967295)"
+    rank = lambda d: f"SELECT {d}, floor((row_number() OVER (ORDER BY {d} NULLS FIRST) - 1) * {side}.0 / greatest(count(*) OVER (), {side}))::BIGINT AS c FROM (SELECT DISTINCT {d} FROM g)"
+    return f"""
+WITH d AS (SELECT doc_id, source, lang, coalesce(text, '') AS t FROM documents),
+g AS (SELECT t, md5(t) AS key, min(source) AS d0, min(lang) AS d1, octet_length(encode(t)) + 1 AS each, count(*) AS members FROM d GROUP BY t),
+r0 AS ({rank("d0")}), r1 AS ({rank("d1")}),
+cells AS (
+  SELECT t, key, each * members AS bytes, r0.c AS x0, r1.c AS x1, least(2 * (length(bin(each)) - 1) + (substr(bin(each), 2, 1) = '1')::INT, {side - 1})::BIGINT AS x2
+  FROM g JOIN r0 ON g.d0 IS NOT DISTINCT FROM r0.d0 JOIN r1 ON g.d1 IS NOT DISTINCT FROM r1.d1),
+{steps},
+placed AS (
+  SELECT t, place, key, least(floor((2 * (sum(bytes) OVER w - bytes) + bytes)::BIGINT * {shards} / (2.0 * sum(bytes) OVER ())::DOUBLE), {shards - 1})::INT AS shard
+  FROM {last} WINDOW w AS (ORDER BY place, key)),
+crc AS (SELECT t, xor({crc}, 4294967295)::BIGINT AS text_crc32 FROM g)
+SELECT doc_id, (octet_length(encode(t)) + 1)::BIGINT AS size, text_crc32, 'bytes' AS law, shard,
+  row_number() OVER (PARTITION BY shard ORDER BY place, key, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT % {BUCKETS}, doc_id NULLS FIRST) - 1 AS slot, NULL::INT AS grown_shard
+FROM d JOIN placed USING (t) JOIN crc USING (t)
+"""
+
+
+ORACLES["op8_hilbert_shards"] = _sharding_sql()
+
+
+def _url_sql(levels: int = 12, many: int = 8, rare: float = 0.05, similar: float = 0.2, z: float = 2.58, smoothing: float = 4.0, reject: float = 0.5) -> str:
+    """The template tree, unrolled for paths of at most ``levels`` segments."""
+    from .queries import URL_RULES
+
+    host = "translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    path = "regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2)"
+    shape = lambda x: f"substr(regexp_replace(regexp_replace({x}, '\\p{{N}}+', '0', 'g'), '\\p{{L}}+', 'a', 'g'), 1, 8)"
+    likely = lambda b, n: f"(CASE WHEN {b} > 0 THEN {b} * ln({b} / ({n})::DOUBLE) ELSE 0.0 END + CASE WHEN ({n}) - ({b}) > 0 THEN (({n}) - ({b})) * ln((({n}) - ({b})) / ({n})::DOUBLE) ELSE 0.0 END)"
+    others, other_bad = "(all_seen - seen)", "(all_bad - bad)"
+    rounds, done = [], ["SELECT host, path, template, seen, bad FROM rows0 WHERE len(segments) = 0"]
+    for i in range(levels):
+        rounds.append(f"""
+now{i} AS (SELECT *, coalesce(segments[{i + 1}], '') AS segment, {shape(f"coalesce(segments[{i + 2}], '')")} AS next FROM rows{i} WHERE len(segments) > {i}),
+shapes{i} AS (SELECT host, template, segment, next, sum(n) AS n, sum(seen) AS seen, sum(bad) AS bad, count(*) AS paths FROM now{i} GROUP BY ALL),
+branch{i} AS (SELECT host, template, segment, sum(n) AS n, sum(seen) AS seen, sum(bad) AS bad, sum(paths) AS paths FROM shapes{i} GROUP BY ALL),
+node{i} AS (SELECT host, template, count(*) AS children, sum(n) AS all_n, sum(seen) AS all_seen, sum(bad) AS all_bad FROM branch{i} GROUP BY ALL),
+pool{i} AS (SELECT host, template, next, sum(n) AS pool_n FROM shapes{i} GROUP BY ALL),
+alike{i} AS (SELECT host, template, segment, sum(sqrt(n * pool_n / all_n::DOUBLE)) AS common FROM shapes{i} JOIN pool{i} USING (host, template, next) JOIN (SELECT host, template, all_n FROM node{i}) USING (host, template) GROUP BY ALL),
+judged{i} AS (
+  SELECT *, sqrt(greatest(0.0, 1 - common / sqrt(n))) AS distance, CASE WHEN all_seen > 0 THEN all_bad / all_seen::DOUBLE ELSE 0.0 END AS pooled,
+    CASE WHEN seen > 0 AND {others} > 0 THEN abs(bad / seen::DOUBLE - {other_bad} / {others}::DOUBLE) ELSE 0.0 END AS gap,
+    {others} > 0 AND {likely("bad", "seen")} + {likely(other_bad, others)} - {likely("all_bad", "all_seen")} > {z * z / 2} + ln(children) AS telling
+  FROM branch{i} JOIN node{i} USING (host, template) JOIN alike{i} USING (host, template, segment)),
+named{i} AS (
+  SELECT host, template, segment, paths,
+    (children > {many} AND n < {rare}::DOUBLE * all_n AND NOT telling)
+    OR (children > 1 AND distance <= {similar} AND gap <= {z}::DOUBLE * sqrt(pooled * (1 - pooled) * (CASE WHEN seen > 0 THEN 1 / seen::DOUBLE ELSE 0.0 END + CASE WHEN {others} > 0 THEN 1 / {others}::DOUBLE ELSE 0.0 END))) AS wild
+  FROM judged{i}),
+all{i} AS (
+  SELECT host, path, n, seen, bad, segments, NOT wild AND paths = 1 AS alone, template || '/' || CASE WHEN wild THEN '*' ELSE segment END
+    || CASE WHEN NOT wild AND paths = 1 AND len(segments) > {i + 1} THEN '/' || array_to_string(segments[{i + 2} :], '/') ELSE '' END AS template
+  FROM now{i} JOIN named{i} USING (host, template, segment)),
+rows{i + 1} AS (SELECT host, path, n, seen, bad, segments, template FROM all{i} WHERE NOT alone AND len(segments) > {i + 1})""")
+        done.append(f"SELECT host, path, template, seen, bad FROM all{i} WHERE alone OR len(segments) = {i + 1}")
+    fits = sorted(URL_RULES, key=lambda r: -len(r[1]))
+    case = lambda value: "CASE " + " ".join(f"WHEN (host = '{r.partition('/')[0]}' OR host LIKE '%.{r.partition('/')[0]}') AND starts_with(path, '/{r.partition('/')[2]}') THEN '{value(w, r)}'" for w, r in fits) + " END"
+    return f"""
+WITH p AS (SELECT page_id, {host} AS host, {path} AS path FROM pages),
+known AS (
+  SELECT host, path, (quality = 0 OR toxic = 1)::INT AS bad FROM (SELECT *, try_cast(regexp_extract(path, '/([0-9]+)[^/]*/?$', 1) AS BIGINT) AS doc_id FROM p) JOIN labels USING (doc_id)
+  WHERE (quality = 0 OR toxic = 1) IS NOT NULL),
+u AS (SELECT host, path, NULL::INT AS bad FROM p UNION ALL SELECT * FROM known),
+rows0 AS (SELECT host, path, count(*) AS n, count(bad) AS seen, coalesce(sum(bad), 0) AS bad, list_filter(string_split(path, '/'), lambda x: x <> '') AS segments, '' AS template FROM u GROUP BY host, path),
+{",".join(rounds)},
+tree AS ({" UNION ALL ".join(done)}),
+by_template AS (SELECT host, template, sum(seen) AS seen, sum(bad) AS bad FROM tree GROUP BY ALL),
+by_host AS (SELECT host, sum(seen) AS host_seen, sum(bad) AS host_bad FROM by_template GROUP BY ALL),
+whole AS (SELECT CASE WHEN sum(host_seen) > 0 THEN sum(host_bad) / sum(host_seen)::DOUBLE ELSE 0.0 END AS prior FROM by_host),
+part AS (SELECT host, template, (bad + {smoothing}::DOUBLE * (host_bad + {smoothing}::DOUBLE * prior) / (host_seen + {smoothing}::DOUBLE)) / (seen + {smoothing}::DOUBLE) AS part FROM by_template JOIN by_host USING (host), whole)
+SELECT page_id, host, path, {case(lambda w, r: r)} AS rule, coalesce({case(lambda w, r: w)}, CASE WHEN part >= {reject} THEN 'block' ELSE 'allow' END) AS verdict, template, round(part, 6) AS bad_part
+FROM p JOIN tree USING (host, path) JOIN part USING (host, template)
+"""
+
+
+ORACLES["op5_url_filter"] = _url_sql()
