@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import fresh_path, written
+from ..tables import fresh_path, written
 
 MAGIC = b"\x5d\x2a\x4d\x18"
 ARCHIVE_BYTES = 48 << 20
@@ -190,6 +190,7 @@ def write_warc(pages: DataFrame, folder: str | None = None, id_col: str = "page_
     flat = pages.select(F.col(id_col).cast("long").alias("page"), F.col(uri_col).cast("string").alias("uri"), F.encode(F.coalesce(F.col(payload_col).cast("string"), F.lit("")), "utf-8").alias("payload"))
     marked = flat.withColumn("sha", F.unhex(F.sha2("payload", 256)))
     last = marked.where(F.length("payload") >= least_revisit).groupBy("sha").agg(F.max("page").alias("last"), F.count("*").alias("n")).where("n > 1").select("sha", "last")
+    last = written(last, "warc-repeated")  # Spark splits the join of a hot payload only between plain shuffles
     linked = marked.join(last, "sha", "left").withColumn("refers_to", F.when(~F.col("page").eqNullSafe(F.col("last")), F.col("last")))
     return written(linked.select("page", "uri", "payload", "refers_to").mapInArrow(_write(folder, archive_bytes, level), "archive string, records long"), "warc-manifest")
 

@@ -15,7 +15,7 @@ from braid.llm.knn import top_products
 from braid.llm.mixing import mixed_documents, plan_mix, taken
 from braid.llm.near_dedup import near_dedup, near_duplicates
 from braid.llm.quality import quality_rules
-from braid.llm.sharding import hilbert_shards
+from braid.llm.sharding import hilbert_shards, write_shards
 from braid.llm.substring_dedup import substring_dedup
 from braid.llm.url_filter import url_filter
 from braid.llm.warc import read_warc, write_warc
@@ -90,6 +90,84 @@ def test_substring_dedup_of_periodic_and_overlapping_texts(spark):
     assert [got[i] for i in range(len(texts))] == brute_kept(texts, 20)
 
 
+def thue_morse(levels, a="a", b="b"):
+    """The word of 2**levels letters and its complement: polynomial hashes modulo 2**64 take them for equal from 11 levels on."""
+    one, other = a, b
+    for _ in range(levels):
+        one, other = one + other, other + one
+    return one, other
+
+
+def test_substring_dedup_tells_thue_morse_words_apart(spark):
+    one, other = thue_morse(11)
+    texts = [words(0, 34) + " x" + one + "x", words(0, 34) + " x" + other + "x", words(100, 34) + " x" + one + "x", words(100, 34) + " x" + one + "x"]
+    got = {r.doc_id: r.n_removed for r in substring_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {0: 0, 1: 0, 2: 35, 3: 35}
+
+
+def test_substring_dedup_grows_prefixes(spark):
+    """One passage in hundreds of contexts: its groups outgrow every limit, whatever that is."""
+    import random
+
+    random.seed(11)
+    line = words(0, 24)
+    texts = [" ".join(f"c{random.randrange(60)}" for _ in range(30)) + f" {line} " + " ".join(f"d{random.randrange(3)}" for _ in range(30)) for _ in range(300)]
+    texts += [words(5000 + 10 * i, 20) + " " + words(100, 40) + f" e{i} " + words(100, 36) for i in range(40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = brute_kept(texts, 35)
+    for limit in (2, 16, 100, 2048):
+        got = {r.doc_id: (r.kept, r.repeats, r.n_words) for r in substring_dedup(df, group_limit=limit).collect()}
+        assert [got[i][0] for i in range(len(texts))] == want
+        for i, t in enumerate(texts):
+            gone = {p for r in got[i][1] for p in range(r["first"], r["first"] + r["words"])}
+            assert " ".join(w for p, w in enumerate(t.split()) if p not in gone) == want[i] and got[i][2] == len(t.split())
+
+
+def test_segments_of_long_texts():
+    """A long text in parts has the words, runs, shingles and ids of the whole."""
+    import numpy as np
+    import pyarrow as pa
+
+    from braid.llm.near_dedup import shingles
+    from braid.llm.substring_dedup import _cut, _pack
+    from braid.llm.textkernel import segments
+
+    texts = ["a b", " \t ".join(f"w{i % 997}é" for i in range(5000)) + "  ", None, "x" * 9000, " " * 9000, "", "end of all"]
+    array = pa.array(texts, pa.large_string())
+    got = {}
+    for part in segments(array, 3, most_bytes=1000):
+        for doc, token in zip(part.words.doc[: part.own].tolist(), part.words.tokens(), strict=False):
+            got.setdefault(part.at + doc, []).append(token)
+        assert len(part.words.starts) == part.own or not part.last
+    assert got == {i: split(t) for i, t in enumerate(texts) if split(t)}
+    long = " ".join(f"v{i * i % 100_003}" for i in range(400_000))
+    assert len(long) > 1 << 21
+    w = long.split()
+    ((_, _, _, value, weight),) = shingles(pa.array([long], pa.large_string()), 5)
+    assert weight.sum() == 400_000 - 4 and len(value) == len(set(zip(*(w[i:] for i in range(5)), strict=False)))
+    spans = pa.array([[int(_pack(a, 3, 0)) for a in (0, 50_000, 50_001, 399_900)]], pa.list_(pa.int64()))
+    batch = pa.RecordBatch.from_arrays([pa.array([long], pa.large_string()), spans], ["c0", "spans"])
+    (out,) = _cut(35, 1, 0)(iter([batch]))
+    assert out.column(1).to_pylist() == [[{"first": 0, "words": 37}, {"first": 50_000, "words": 38}, {"first": 399_900, "words": 37}]]
+    gone = {*range(37), *range(50_000, 50_038), *range(399_900, 399_937)}
+    assert out.column("n_removed").to_pylist() == [len(gone)] and out.column("n_words").to_pylist() == [400_000]
+    assert out.column("kept").to_pylist() == [" ".join(x for i, x in enumerate(w) if i not in gone)]
+    assert np.array_equal(out.column(0).to_pylist()[0], long)
+
+
+def test_substring_dedup_of_long_texts(spark):
+    """Repeats far inside a text of several segments, and across them."""
+    import random
+
+    random.seed(2)
+    long = [f"u{random.randrange(10**9)}" for _ in range(150_000)]
+    passage = long[60_000:60_080]
+    texts = [" ".join(long), "short " + " ".join(passage) + " tail", " ".join(long[100_000:100_034])]
+    got = {r.doc_id: r for r in substring_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [(got[i].n_words, got[i].n_removed) for i in range(3)] == [(150_000, 80), (82, 80), (34, 0)]
+    assert got[0].kept == " ".join(long[:60_000] + long[60_080:]) and got[1].kept == "short tail"
+
+
 def jaccard(a, b):
     grams = lambda t: {tuple(t[i : i + 5]) for i in range(len(t) - 4)} or ({tuple(t)} if t else set())
     x, y = grams(split(a)), grams(split(b))
@@ -199,6 +277,116 @@ def test_mix(docs):
     assert words_out == Counter({k: v for k, v in by.items() if v})
 
 
+def brute_mix(rows, block_words, shard_slots, seed=1):
+    """The mix in plain Python, from the hash order of (id, text, source) up: words taken by row, and the slots."""
+    import math
+
+    import numpy as np
+
+    from braid.llm.mixing import permuted, shard_draws
+
+    sources = sorted({r["source"] for r in rows}, key=lambda s: (s is None, s or ""))
+    sizes = {s: sum(len(split(r["text"])) for r in rows if r["source"] == s) for s in sources}
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(sources)}
+    target, owed, free = {}, 1.5 * sum(sizes.values()), set(sources)
+    while True:  # share, fix what is above its bound, share the rest again
+        over = [s for s in free if owed * weight[s] / sum(weight[o] for o in free) > 2 * sizes[s] + 1e-9]
+        if not over:
+            break
+        for s in over:
+            target[s] = 2.0 * sizes[s]
+        owed, free = owed - sum(2.0 * sizes[s] for s in over), free - set(over)
+    target |= {s: owed * weight[s] / sum(weight[o] for o in free) for s in free}
+    taken, slots = Counter(), []
+    by_order = sorted(rows, key=lambda r: (r["order"], r["n"]))
+    streams = {s: [r["n"] for r in by_order if r["source"] == s for _ in split(r["text"])] for s in sources}
+    for place, s in enumerate(sources):
+        stream, left, own, turn = streams[s], round(target[s]), 0, 0
+        blocks = [stream[a : a + block_words] for a in range(0, len(stream), block_words)]
+        while left > 0:
+            for b in permuted(np.arange(len(blocks)), len(blocks), (seed * 1_000_003 + place) * 64 + turn).tolist():
+                for i in blocks[b][:left]:
+                    taken[i] += 1
+                own, left = own + 1, left - len(blocks[b][:left])
+                if left <= 0:
+                    break
+            turn += 1
+        slots.append(own)
+    shards = math.ceil(sum(slots) / shard_slots)
+    drawn = [shard_draws(tuple(slots), shard_slots, seed)(i) for i in range(shards)]
+    return target, taken, slots, drawn
+
+
+def test_mix_against_brute_force(spark):
+    import random
+
+    random.seed(9)
+    texts = [" ".join(f"m{random.randrange(50)}" for _ in range(random.choice([0, 1, 7, 40, 300]))) for _ in range(150)]
+    given = [(i % 60, t, random.choice(["a", "b", "c", "d", None])) for i, t in enumerate(texts)] + [(1, None, "a"), (2, "x y", "e"), (2, "x y", "e")]
+    df = spark.createDataFrame(given, "doc_id long, text string, source string").coalesce(1)
+    orders = df.select("doc_id", "text", "source", F.xxhash64(F.lit(1), F.col("doc_id").cast("string"), "text", "source").alias("order")).collect()
+    rows = [r.asDict() | {"n": n} for n, r in enumerate(orders)]
+    target, want, slots, drawn = brute_mix(rows, 16, 32)
+    got = taken(plan_mix(df.repartition(5), block_words=16, shard_slots=32)).collect()
+    assert sum(r.taken for r in got) == sum(want.values()) == sum(map(round, target.values()))
+    assert all(r.target == pytest.approx(target[r.source]) for r in got)
+    assert Counter((r.id, r.source, r["size"], r.taken) for r in got) == Counter((r["doc_id"], r["source"], len(split(r["text"])), want[r["n"]]) for r in rows)
+    # every slot is dealt once, shards are full but the last, and their draws follow each other
+    assert [sum(c[i] for _, c in drawn) for i in range(len(slots))] == slots
+    assert all(sum(c) == 32 for _, c in drawn[:-1])
+    assert all(tuple(a + b for a, b in zip(*drawn[i], strict=True)) == drawn[i + 1][0] for i in range(len(drawn) - 1))
+
+
+def test_mix_of_long_texts(spark):
+    long = " ".join(f"n{i}" for i in range(150_000))
+    df = spark.createDataFrame([(1, long, "a"), (2, "  b  c ", "b"), (3, words(0, 1000), "b")], "doc_id long, text string, source string")
+    by = Counter()
+    for r in mixed_documents(df, block_words=512).collect():
+        own = r.text.split()
+        assert r.text == long if len(own) == 150_000 else set(own) <= set(long.split()) | set(words(0, 1000).split()) | {"b", "c"}
+        by[r.doc_id] += len(own)
+    assert by == Counter({r.id: r.taken for r in taken(plan_mix(df, block_words=512)).collect()})
+
+
+def test_near_duplicates_recall(spark):
+    """Variants of long texts at similarities from 0.8 up: at least 0.9 of the pairs at the threshold are found, and none below it alone."""
+    import random
+
+    random.seed(12)
+    families, pairs = [], 0
+    for f in range(120):
+        base = [f"r{f}x{i}" for i in range(random.choice([30, 120, 400]))]
+        own = base[:]
+        edits = max(1, int(len(base) * random.choice([0.005, 0.012, 0.02])))
+        for at in random.sample(range(len(base)), edits):
+            own[at] = f"e{f}x{at}"
+        families.append([" ".join(base), " ".join(own)])
+    df = spark.createDataFrame([(10 * f + i, t) for f, texts in enumerate(families) for i, t in enumerate(texts)], "doc_id long, text string")
+    got, found = {r.doc_id: r.class_id for r in near_duplicates(df).collect()}, 0
+    for f, (a, b) in enumerate(families):
+        near = jaccard(a, b) >= 0.8
+        pairs += near
+        found += near and got[10 * f] == got[10 * f + 1]
+        assert near or got[10 * f] != got[10 * f + 1]
+    assert pairs > 40 and found >= 0.9 * pairs
+
+
+def test_near_duplicates_of_a_large_family_with_strays(spark):
+    """Members of one bucket: hundreds linked, a few strays that reach them through one member only."""
+    base = words(0, 400).split()
+    texts = [" ".join([*base[:-1], f"v{i}"]) for i in range(300)]
+    for i in range(6):  # each like variant i with more changes, below the threshold to the base
+        own = texts[i].split()
+        for at in range(0, 40):
+            own[7 * at + i] = f"s{i}x{at}" if at < 6 + i else own[7 * at + i]
+        texts.append(" ".join(own))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = brute_classes(texts)
+    for most in (2048, 16):
+        got = {r.doc_id: r.class_id for r in near_duplicates(df, block_members=most).collect()}
+        assert [got[i] for i in range(len(texts))] == want
+
+
 def test_bpe(docs):
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
     enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -234,6 +422,22 @@ def test_bpe_pieces_against_tiktoken(spark):
         assert np.frombuffer(r.ids, dtype="<u4").tolist() == enc.encode_ordinary(r.text)
 
 
+def test_bpe_tells_thue_morse_pieces_apart_and_cuts_long_texts(spark):
+    import random
+
+    import numpy as np
+
+    random.seed(4)
+    one, other = thue_morse(11)
+    some = ["word", "it's", "  two", "é", "日本 ", "\n\n", "12", "!?", " x"]
+    long = "".join(random.choice(some) + random.choice(["", " "]) for _ in range(400_000))
+    texts = [f"x{one}x", f"x{other}x", f"x{one}x", "y" * 700_000, " " * 700_000 + "z", long]
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(RANKS), special_tokens={})
+    for r in bpe.round_trip(spark.createDataFrame([(t,) for t in texts], "text string").repartition(1), RANKS).collect():
+        assert np.frombuffer(r.ids, dtype="<u4").tolist() == enc.encode_ordinary(r.text)
+        assert bytes(r.decoded) == r.text.encode()
+
+
 def test_hilbert_shards(docs):
     got = hilbert_shards(docs, shards=4).collect()
     assert len(got) == len(rows())
@@ -247,6 +451,36 @@ def test_hilbert_shards(docs):
     assert all(len(s) == 1 for s in text_shards.values())
 
 
+def test_hilbert_curve_is_a_walk():
+    """Every cell once, each step to a neighbour."""
+    import numpy as np
+
+    from braid.llm.sharding import hilbert_index
+
+    cells = np.stack(np.meshgrid(*[np.arange(16)] * 3, indexing="ij"), axis=-1).reshape(-1, 3)
+    place = hilbert_index(cells, 4)
+    assert sorted(place.tolist()) == list(range(16**3))
+    assert (np.abs(np.diff(cells[np.argsort(place)], axis=0)).sum(axis=1) == 1).all()
+
+
+def test_shards_are_even_and_written(spark, tmp_path):
+    given = [(i, f"text {i} " + "x" * (i * 37 % 400), "ab"[i % 2], "en") for i in range(2000)] + [(5000 + i, "one copy", "a", "en") for i in range(300)]
+    df = spark.createDataFrame(given, "doc_id long, text string, source string, lang string")
+    done = hilbert_shards(df, shards=8)
+    rows = done.collect()
+    size, slots = Counter(), {}
+    for r in rows:
+        size[r.shard] += r["size"]
+        slots.setdefault(r.shard, []).append(r.slot)
+    mean = sum(size.values()) / 8
+    assert len(size) == 8 and all(abs(n - mean) <= 300 * 9 + 400 for n in size.values())
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    write_shards(done, f"file://{tmp_path}/shards", files_each=2)
+    back = spark.read.parquet(f"file://{tmp_path}/shards")
+    assert Counter((r.doc_id, r.shard, r.slot) for r in back.collect()) == Counter((r.doc_id, r.shard, r.slot) for r in rows)
+    write_shards(hilbert_shards(df.limit(0)), f"file://{tmp_path}/none")
+
+
 def test_quality(spark, docs):
     labels = spark.createDataFrame([(3, 1, None), (3, 0, 1), (None, 1, 0), (5, None, 0), (99, 1, 0)], "doc_id long, quality int, toxic int")
     got = quality_rules(docs, labels)
@@ -267,15 +501,34 @@ def test_quality_cutoffs_hold_their_risk(spark):
     assert all(got[r[0]] for r in good) and not any(got[r[0]] for r in bad)
 
 
+def test_clashing_names(spark):
+    """Columns named like those that the operators use on the way."""
+    names = "cut_symbols long, cut_long_words long, braid_parts long, b_parts long, b_row long, row long, span long, spans long, key long, component long, n long, size long, shard long, class_id long, repeats long, stratum long, good long, b_id long"
+    df = spark.createDataFrame([(i, words(i, 40), "en", "a", *range(18)) for i in range(5)], f"doc_id long, text string, lang string, source string, {names}")
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    for make in (lambda: quality_rules(df, labels), lambda: mixed_documents(df), lambda: substring_dedup(df), lambda: near_duplicates(df), lambda: hilbert_shards(df), lambda: bpe.round_trip(df, RANKS)):
+        out = make()
+        assert out.columns[: len(df.columns)] == df.columns and {r["cut_symbols"] for r in out.collect()} == {0}
+
+
+def binomial_tail(n, k, p):
+    from math import exp, fsum, lgamma, log, log1p
+
+    return fsum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * log(p) + (n - i) * log1p(-p)) for i in range(k + 1))
+
+
 def test_binomial_tail(spark):
     from math import comb
 
     from braid.llm.quality import chance_at_most
 
-    for n, k, p in ((50, 0, 0.05), (200, 3, 0.05), (1000, 20, 0.05), (30, 29, 0.5)):
+    for n, k, p in ((50, 0, 0.05), (200, 3, 0.05), (1000, 20, 0.05), (30, 29, 0.5), (15, 1, 0.2), (16, 2, 0.3), (20_000, 150, 0.01), (3_000, 0, 0.01), (100_000, 990, 0.01)):
         row = spark.range(1).select(chance_at_most(F.lit(k).cast("long"), F.lit(n).cast("long"), p).alias("c")).first()
-        want = 1.0 if k >= n * p else sum(comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1))
-        assert row.c == pytest.approx(want, rel=1e-9)
+        from fractions import Fraction
+
+        chance = Fraction(p)
+        want = 1.0 if k >= n * p else float(sum(comb(n, i) * chance**i * (1 - chance) ** (n - i) for i in range(k + 1))) if n < 2000 else binomial_tail(n, k, p)
+        assert row.c == pytest.approx(want, rel=1e-9 if n < 2000 else 1e-7)
 
 
 def test_knn(spark):
@@ -314,6 +567,29 @@ def test_warc(spark, tmp_path):
     assert {bytes(r.payload).decode() for r in got if r.record_type == "response"} == {h or "" for _, _, h in given}
 
 
+def test_warc_files(spark, tmp_path):
+    """Archives open with a dictionary in a skippable frame, and each record is a frame that the dictionary alone decodes."""
+    import zstandard
+
+    given = [(i, f"http://h/{i}", f"<p>{'same words again ' * 20}{i}</p>") for i in range(300)] + [(1000, None, None)]
+    manifest = write_warc(spark.createDataFrame(given, "page_id long, url string, html string").coalesce(1), folder=f"file://{tmp_path}/w", archive_bytes=20_000).collect()
+    assert sum(r.records for r in manifest) == 301 and len(manifest) > 1
+    bodies = 0
+    for r in manifest:
+        raw = open(r.archive.removeprefix("file://"), "rb").read()
+        assert raw[:4] == b"\x5d\x2a\x4d\x18"
+        size = int.from_bytes(raw[4:8], "little")
+        unpack, at = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(raw[8 : 8 + size])), 8 + size
+        for _ in range(r.records):
+            one = unpack.decompressobj()
+            record = one.decompress(raw[at:])
+            at = len(raw) - len(one.unused_data)
+            assert record.startswith(b"WARC/1.1\r\n") and record.endswith(b"\r\n\r\n")
+            bodies += b"same words again" in record
+        assert at == len(raw)
+    assert bodies == 300
+
+
 def test_url_filter(spark):
     pages = [(i, f"https://good.example/en/{i}.html") for i in range(60)] + [(100 + i, f"http://Bad.Example/spam/{i}?q=1#x") for i in range(60)]
     pages += [(300, None), (301, "no scheme/x"), (302, "http://a.net"), (303, "http://a.net/"), (304, "https://x.example.net/en/1"), (305, "https://y.example.com/de/2"), (306, "ftp://b.org/fr/"), (307, "http://notnet/x")]
@@ -375,6 +651,34 @@ def test_chat_events(spark):
     assert got[2] == ([("", "lost")], "")
 
 
+def test_chat_of_null_and_repeated_turns(spark):
+    log = [(1, 0, "user", "a"), (1, 0, "user", "a"), (1, 1, None, None), (1, None, "assistant", "x"), (2, 0, "assistant", ""), (None, 0, "user", None)]
+    out = chat.render(chat.fold(chat.events_of(spark.createDataFrame(log, "conv_id long, turn long, role string, text string"))))
+    got = {r.conv: (sorted(map(tuple, r.turns)), r.loss) for r in out.select("conv", chat.read_back(F.col("formatted")).alias("turns"), chat.loss_text(F.col("segments")).alias("loss")).collect()}
+    assert got[2] == ([("assistant", "")], "") and got[None] == ([("user", "")], "")
+    assert got[1][0] == sorted([("user", "a"), ("user", "a"), ("", ""), ("assistant", "x")]) and got[1][1] == "x"
+
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.skipif(not __import__("os").path.isdir(SF), reason="the test tables are not here")
+@pytest.mark.parametrize("name", ["op1_substring_dedup", "op3_voronoi_knn", "op4_warc", "op5_url_filter", "op7_near_duplicates", "op8_hilbert_shards", "op9_chat_format", "op10_quality_rules"])
+def test_queries_against_sql(spark, name):
+    import duckdb
+
+    from braid.llm.queries import oracle_sql, queries
+
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "pages", "benchmark", "labels", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    got = queries()[name](spark, SF)
+    result = con.execute(oracle_sql()[name])
+    names = [d[0] for d in result.description]
+    assert sorted(names) == sorted(got.columns)
+    assert Counter(map(tuple, got.select(*names).collect())) == Counter(result.fetchall())
+
+
 @pytest.mark.parametrize(
     "make",
     [
