@@ -15,7 +15,7 @@ from braid.llm.mixing import mixed_documents
 from braid.llm.near_dedup import near_dedup
 from braid.llm.quality import quality_rules
 from braid.llm.substring_dedup import substring_dedup
-from braid.llm.tables import written
+from braid.llm.tables import finished
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 MIN_WORDS = 35
@@ -35,9 +35,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the words of repeated passages. One whose words all go stays, with an empty text."""
-    cut = substring_dedup(docs.select(*COLUMNS), min_words=MIN_WORDS)
-    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
-    return cut.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    cut = substring_dedup(docs.select(*COLUMNS), min_words=MIN_WORDS, changed_only=True)
+    return cut.withColumn("text", F.coalesce("kept", "text")).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,8 +61,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written and read again."""
+    """All stages over ``documents``, each written and read again; the tables that a stage needed go when it has ended."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+        docs = finished(spark, lambda own=docs, stage=stage: stage(spark, own, sf_dir), f"stage-{name.replace(' ', '-')}")
     return STAGES[-1][1](spark, docs, sf_dir)
