@@ -60,6 +60,34 @@ def translate(text: str, names: Mapping[str, Column]) -> Column:
     return of(tree)
 
 
+class _Plain(ast.NodeTransformer):
+    """``values["a"]`` and ``np.f(...)`` as plain names."""
+
+    def visit_Subscript(self, node: ast.Subscript) -> ast.AST:
+        if isinstance(node.value, ast.Name) and node.value.id in ("values", "inputs", "globals") and isinstance(node.slice, ast.Constant) and isinstance(node.slice.value, str):
+            return ast.Name(node.slice.value, ast.Load())
+        return self.generic_visit(node)
+
+    def visit_Attribute(self, node: ast.Attribute) -> ast.AST:
+        if isinstance(node.value, ast.Name) and node.value.id in ("np", "math"):
+            return ast.Name(node.attr, ast.Load())
+        return self.generic_visit(node)
+
+
+def source_parts(text: str) -> list[str]:
+    """The expressions of a source: itself, the elements of a list, or the body of ``lambda ctx, values:``, in which parents are ``values["name"]``."""
+    try:
+        tree = ast.parse(text.strip(), mode="eval").body
+    except SyntaxError as error:
+        raise ValueError(f"no expression: {error.msg}") from None
+    if isinstance(tree, ast.Lambda):
+        if [a.arg for a in tree.args.args] != ["ctx", "values"] or tree.args.defaults or tree.args.kwonlyargs or tree.args.vararg or tree.args.kwarg:
+            raise ValueError("a source is a lambda of ctx and values")
+        tree = tree.body
+    tree = ast.fix_missing_locations(_Plain().visit(tree))
+    return [ast.unparse(e) for e in (tree.elts if isinstance(tree, ast.List | ast.Tuple) else [tree])]
+
+
 def ground_truth(op: str, columns: list[Column], **how) -> Column:
     """The operations that generated tasks are made of."""
     a = columns[0]

@@ -14,6 +14,7 @@ see validation rows too. A configuration's score is the mean of its fold scores.
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -21,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import Block, nz
+from ..functions.source import source_parts, translate
 from ..operators import combine
 from ..operators.series import SERIES_BLOCKS, Series, boundary_energy_weight, late_energy_weight, with_time_scale
 from ..operators.tabular import TABULAR_BLOCKS, Table, row_norm_weight
@@ -52,7 +54,7 @@ class Superset:
 
     def _key(self, a: Alternative, config: Config) -> tuple:
         """What an alternative's result depends on under a configuration."""
-        return (a.primitive, a.params, tuple((n, tuple(self.g.globals[n])) for n in a.globals), tuple(self._key(self._chosen(p, config), config) for p in self._made_parents(a)))
+        return (a.primitive, a.params, a.source, tuple((n, tuple(self.g.globals[n])) for n in a.globals), tuple(self._key(self._chosen(p, config), config) for p in self._made_parents(a)))
 
     def _made_parents(self, a: Alternative) -> list[str]:
         return [p for p in a.parents if self.g.nodes[p].kind != "input"]
@@ -75,9 +77,25 @@ class Superset:
                 self.made[key] = [(c, f"identity_{n}") for c, n in flat]
             else:
                 level = 1 + max((self.level[c] for c, _ in flat), default=-1)
-                self.made[key] = [(self._column(c, level), n) for n, c in self._make(a, [(n, F.col(c)) for c, n in flat], families)]
+                own = self._source(a, dict(zip(parents, blocks, strict=False))) if a.primitive == "source" else self._make(a, [(n, F.col(c)) for c, n in flat], families)
+                self.made[key] = [(self._column(c, level), n) for n, c in own]
+            a.check(len(self.made[key]))
         return self.made[key]
 
+    def _source(self, a: Alternative, blocks: dict[str, list[tuple[str, str]]]) -> Block:
+        """The features of an expression: over a series its values are arrays, over blocks it is taken column by column."""
+        globals_ = {n: F.lit(float(self.g.globals[n][0])) for n in a.globals}
+        names: list[dict[str, Column]] = [dict(globals_)]
+        if self.series is not None:
+            names[0] |= {"series": self.series.whole.values, "pre": self.series.pre.values, "post": self.series.post.values}
+        if blocks:
+            width = max(map(len, blocks.values()))
+            names = [names[0] | {p: F.col(b[min(i, len(b) - 1)][0]) for p, b in blocks.items()} for i in range(width)]
+        elif self.table is not None:
+            names = [names[0] | {p: self.table.x(i) for p in a.parents} for i in range(self.table.width)]
+        name = f"source_{hashlib.sha256(a.source.encode()).hexdigest()[:6]}"
+        return [(f"{name}_{k}_{i}", translate(part, own)) for k, part in enumerate(source_parts(a.source)) for i, own in enumerate(names)]
+
     def _column(self, c: Column, level: int) -> str:
         own = f"__f{len(self.columns)}"
         self.columns[own], self.level[own] = c.cast("double"), level

@@ -22,9 +22,29 @@ class Alternative:
     parents: tuple[str, ...] = ()
     globals: tuple[str, ...] = ()
     params: tuple[tuple[str, float], ...] = ()
+    source: str = ""  # of the primitive "source": an expression over the parents
+    contract: tuple[tuple[str, object], ...] = ()  # what the result has to be: type, n_columns, min_columns, max_columns
 
     def meaning(self) -> tuple:
-        return (self.primitive, self.parents, self.globals, self.params)
+        return (self.primitive, self.parents, self.globals, self.params, self.source)
+
+    def to_dict(self) -> dict:
+        more = ({"source": self.source} if self.source else {}) | ({"contract": dict(self.contract)} if self.contract else {})
+        return {"id": self.id, "primitive": self.primitive, "parents": list(self.parents), "globals": list(self.globals), "params": dict(self.params)} | more
+
+    @classmethod
+    def from_dict(cls, d: dict) -> Alternative:
+        pairs = lambda key: tuple(sorted(d.get(key, {}).items()))
+        return cls(d["id"], d["primitive"], tuple(d.get("parents", ())), tuple(d.get("globals", ())), pairs("params"), d.get("source", ""), pairs("contract"))
+
+    def check(self, columns: int) -> None:
+        """Raise unless a block of so many columns is what the contract says."""
+        says = dict(self.contract)
+        if says.get("type", "feature_block") not in ("feature_block", "array"):
+            raise TypeError(f"{self.id} gives features, not a {says['type']}")
+        for key, wrong in (("n_columns", lambda n: columns != n), ("min_columns", lambda n: columns < n), ("max_columns", lambda n: columns > n)):
+            if says.get(key) is not None and wrong(int(says[key])):
+                raise ValueError(f"{self.id} gives {columns} columns; its contract says {key} {says[key]}")
 
 
 @dataclass
@@ -117,14 +137,14 @@ class Graph:
 
 
 def graph_to_dict(g: Graph) -> dict:
-    nodes = [{"name": n.name, "kind": n.kind, "alternatives": [{"id": a.id, "primitive": a.primitive, "parents": list(a.parents), "globals": list(a.globals), "params": dict(a.params)} for a in n.alternatives]} for n in g.nodes.values()]
+    nodes = [{"name": n.name, "kind": n.kind, "alternatives": [a.to_dict() for a in n.alternatives]} for n in g.nodes.values()]
     return {"name": g.name, "nodes": nodes, "globals": {k: list(v) for k, v in g.globals.items()}, "trainable": sorted(g.trainable)}
 
 
 def graph_from_dict(d: dict) -> Graph:
     g = Graph(d["name"], globals={k: list(map(float, v)) for k, v in d.get("globals", {}).items()}, trainable=set(d.get("trainable", ())))
     for n in d["nodes"]:
-        g.add(n["name"], n["kind"], *(Alternative(a["id"], a["primitive"], tuple(a.get("parents", ())), tuple(a.get("globals", ())), tuple(sorted(a.get("params", {}).items()))) for a in n["alternatives"]))
+        g.add(n["name"], n["kind"], *map(Alternative.from_dict, n["alternatives"]))
     return g
 
 
@@ -160,11 +180,12 @@ def feature_signature(g: Graph, config: dict[str, str]) -> tuple:
         return memo[name]
 
     def alternative(a: Alternative) -> tuple:
-        return (a.primitive, a.params, tuple((n, tuple(g.globals[n])) for n in a.globals), tuple(of(p) for p in a.parents))
+        return (a.primitive, a.params, a.source, tuple((n, tuple(g.globals[n])) for n in a.globals), tuple(of(p) for p in a.parents))
 
     return tuple((a.id, alternative(a)) for n in g.of_kind("output") for a in n.alternatives)
 
 
+#: The shared numbers of both seed graphs; names of their nodes, alternatives and primitives below are fixed too.
 _SHARED = {"gate_scale": [1.0], "projection_vector": [0.2 + 0.8 * i / 15 for i in range(16)], "residual_huber_scale": [1.0]}
 
 

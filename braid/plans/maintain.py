@@ -68,7 +68,9 @@ def change(g: Graph, document: Change) -> Graph:
         node = out.nodes[a["node"]]
         if any(b.id == a["id"] for b in node.alternatives):
             raise ValueError(f"{node.name}.{a['id']} is there already")
-        node.alternatives.append(Alternative(a["id"], a["primitive"], tuple(a.get("parents", ())), tuple(a.get("globals", ())), tuple(sorted(a.get("params", {}).items()))))
+        if node.kind == "input":
+            raise ValueError(f"{node.name} is an input")
+        node.alternatives.append(Alternative.from_dict(a))
     out.validate()
     return clean(out)[0]
 
