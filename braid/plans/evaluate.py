@@ -27,7 +27,7 @@ from ..operators import combine
 from ..operators.series import SERIES_BLOCKS, Series, boundary_energy_weight, late_energy_weight, with_time_scale
 from ..operators.tabular import TABULAR_BLOCKS, Table, row_norm_weight
 from .graph import Alternative, Graph, feature_signature
-from .linalg import ALPHAS, Moments, Ridge, Solver, effective_rank, first_least, moments, summed, target_correlations
+from .linalg import ALPHAS, HELD_VALUES, Held, Moments, Ridge, Solver, effective_rank, first_least, moments, summed, target_correlations
 from .planner import Config, coverage, finalists, plan
 from .report import alternative_rows, feature_rows, search_summary, subnode_rows
 
@@ -271,10 +271,12 @@ def evaluate(
 def _evaluate(g, s, frame, configs, whole, per, w_names, weight_columns, features, metric, keep, irls_steps) -> Result:
     columns = [*features, "__y"]
     weights = ["__one", *weight_columns.values()]
-    first = frame.agg(F.max("__fold").alias("k"), *(F.avg(c).alias(f"m{i}") for i, c in enumerate([*columns, *weight_columns.values()]))).first()
+    first = frame.agg(F.max("__fold").alias("k"), F.count("*").alias("n"), *(F.avg(c).alias(f"m{i}") for i, c in enumerate([*columns, *weight_columns.values()]))).first()
     folds = first[0] + 1
-    shift = np.array(first[1 : 1 + len(columns)], dtype=np.float64)
-    w_mean = dict(zip(weight_columns, first[1 + len(columns) :], strict=True))
+    shift = np.array(first[2 : 2 + len(columns)], dtype=np.float64)
+    w_mean = dict(zip(weight_columns, first[2 + len(columns) :], strict=True))
+    if first[1] * (len(columns) + len(weight_columns) + 2) <= HELD_VALUES:
+        frame = Held(frame.select(*columns, *weight_columns.values(), "__one", "__fold"))
     sums = moments(frame, columns, "__fold", folds, weights, shift)
     place = {c: i for i, c in enumerate(columns)}
     w_place = {name: 1 + i for i, name in enumerate(weight_columns)}

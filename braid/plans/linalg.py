@@ -19,8 +19,24 @@ ALPHAS = np.logspace(-4, 4, 17)
 EPS = 1e-8
 
 
-def summed(df: DataFrame, columns: list[str], kernel: Callable[[np.ndarray], dict[int, np.ndarray]]) -> dict[int, np.ndarray]:
+#: Values (rows times columns) up to which a table that is passed over again and again is held on the driver.
+HELD_VALUES = 1 << 21
+
+
+class Held:
+    """A small table on the driver, in place of a DataFrame that many passes read. The sums are the same ones."""
+
+    def __init__(self, df: DataFrame):
+        self.columns, self.rows = df.columns, df.toPandas().to_numpy(dtype=np.float64)
+
+    def take(self, columns: list[str]) -> np.ndarray:
+        return self.rows[:, [self.columns.index(c) for c in columns]]
+
+
+def summed(df: DataFrame | Held, columns: list[str], kernel: Callable[[np.ndarray], dict[int, np.ndarray]]) -> dict[int, np.ndarray]:
     """The sums over all rows of what ``kernel`` gives for batches (rows, columns): a vector for each group."""
+    if isinstance(df, Held):
+        return kernel(df.take(columns)) if len(df.rows) else {}
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[int, np.ndarray] = {}
