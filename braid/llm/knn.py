@@ -128,8 +128,13 @@ class _Best:
         for at in range(0, len(self.ids), step):
             own = slice(at, at + step)
             score = products(self.vectors[own], data)
-            # a full list keeps out what is below its last
-            row, col = np.nonzero(((score >= self.score[own, -1:]) | (self.have[own, None] < self.k)) & (ids[None, :] != self.ids[own, None]))
+            # a full list keeps out what is below its last, and a batch what is below its own k best (one may be the query itself)
+            limit = np.where(self.have[own] < self.k, -(2**63), self.score[own, -1])
+            near = score >= limit[:, None]
+            if len(ids) > self.k + 1 and near.sum() > 8 * self.k * len(score):
+                edge = np.partition(score, len(ids) - self.k - 1, axis=1)[:, len(ids) - self.k - 1]
+                near &= score >= edge[:, None]
+            row, col = np.nonzero(near & (ids[None, :] != self.ids[own, None]))
             if not len(row):
                 continue
             held_row, held_col = np.nonzero(np.arange(self.k) < self.have[own, None])
