@@ -358,12 +358,31 @@ def _evaluate(g, s, frame, configs, whole, per, w_names, weight_columns, feature
         "residual_std": stats["residual_std"],
         "folds": {"mean": float(np.mean(scores)), "std": float(np.std(scores)), "scores": scores},
         "configuration_search": search_summary([r for r in table if "score" in r], whole, len(configs)),
+        "valid_feature_pool": pool_fit(s, configs, per, train[ALL, 0], shift, place, frame, columns),
         "planner": {"planned": len(configs), "total": whole, "axes": coverage(g, configs)},
         "signatures": len({feature_signature(g, c) for c in configs}),
     }
     return Result(table[best]["score"], config, labels, scores, models, table, diagnostics, [m.alpha for m in models])
 
 
+def pool_fit(s: Superset, configs: list[Config], per: list[list[str]], whole: Moments, shift: np.ndarray, place: dict[str, int], frame, columns: list[str]) -> dict:
+    """One unweighted readout over the features of all configurations that were planned, each different matrix side by side."""
+    different = list(dict.fromkeys(tuple(p) for p in per))
+    pool = [c for matrix in different for c in matrix]
+    at = [place[c] for c in pool] + [place["__y"]]
+    m = whole.take(at)
+    solver = Solver.of(m, m)
+
+    def held_out(rows: np.ndarray) -> dict[int, np.ndarray]:
+        return {0: solver.held_out(rows[:, at[:-1]], rows[:, at[-1]], np.ones(len(rows)))}
+
+    model = solver.fit(float(ALPHAS[first_least(summed(frame, columns, held_out).get(0, np.zeros(len(ALPHAS))))]))
+    b = np.append(model.coef, -1.0)
+    bias = float(m.mean @ b) + model.intercept
+    see, n = float(b @ m.cross @ b) + m.n * bias * bias, max(m.n, 1)
+    return {"n_configurations": len(different), "n_features": len(pool), "alpha": model.alpha, "intercept": model.intercept, "rmse": float(np.sqrt(max(see, 0.0) / n))}
+
+
 def _irls_weight(residual: np.ndarray, scale: float) -> np.ndarray:
     size = np.abs(residual)
     return np.where(size <= scale, 1.0, scale / np.maximum(size, 1e-6))

@@ -264,6 +264,6 @@ def built_in(additions: Iterable[dict]) -> Propose:
     def propose(g: Graph, score: float, step: int) -> Document:
         a = rows[(step - 1) % len(rows)]
         id = a["id"] if all(b.id != a["id"] for b in g.nodes[a["node"]].alternatives) else f"{a['id']}_{step}"
-        return Document(rationale=f"add {a['primitive']}", add=[{"target_node": a["node"], "alternative_id": id, "primitive": a["primitive"], "parents": a["parents"]}])
+        return Document(rationale=f"add {a['primitive']}", add=[{"target_node": a["node"], "alternative_id": id, "primitive": a["primitive"], "parents": a["parents"], "global_refs": a.get("globals", [])}])
 
     return propose

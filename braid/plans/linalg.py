@@ -184,6 +184,24 @@ def ridge(df: DataFrame, features: list[str], y: str, weight: str | None = None,
     return solver.fit(float(alpha))
 
 
+def ridge_of(df: DataFrame, columns: list[str], expand: Callable[[np.ndarray], np.ndarray], width: int) -> Ridge:
+    """A ridge readout over what ``expand`` makes of batches of rows (``width`` features, then the target), in two passes."""
+
+    def sums(rows: np.ndarray) -> dict[int, np.ndarray]:
+        u = np.column_stack((np.ones(len(rows)), expand(rows)))
+        return {0: np.append(len(rows), (u.T @ u).ravel())}
+
+    found = summed(df, columns, sums).get(0, np.zeros(1 + (width + 2) ** 2))
+    m = Moments.of(found[0], found[1:].reshape(width + 2, width + 2), np.zeros(width + 1))
+    solver = Solver.of(m, m)
+
+    def held_out(rows: np.ndarray) -> dict[int, np.ndarray]:
+        wide = expand(rows)
+        return {0: solver.held_out(wide[:, :-1], wide[:, -1], np.ones(len(rows)))}
+
+    return solver.fit(float(ALPHAS[first_least(summed(df, columns, held_out).get(0, np.zeros(len(ALPHAS))))]))
+
+
 def effective_rank(m: Moments) -> float:
     """exp of the entropy of the normalized singular values of the z-scored columns that vary."""
     ok = m.std >= 1e-12

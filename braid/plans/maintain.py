@@ -137,11 +137,41 @@ def search(g: Graph, score, proposals, steps: int, strict: bool = False):
     return g, best, log
 
 
-#: Single additions that a search may draw on when nothing else proposes.
-BUILT_IN = [
-    {"add": [{"node": "nonlinear_features", "id": name, "primitive": f"tabular_{name}", "parents": ["x"]}]} for name in ("signed_log", "sine", "tanh", "sine_interactions", "gated_log")
-] + [
-    {"add": [{"node": node, "id": name, "primitive": name, "parents": ["series"]}]}
-    for node, names in (("segment_stats", ("segment_late_shift", "event_detection_outputs")), ("trend_stats", ("trend_late_window",)), ("shape_stats", ("shape_drawdown", "shape_post_concentration", "row_cusum_local")))
-    for name in names
-]
+_SEGMENTS = ("segment_stats", "trend_stats", "shape_stats")
+#: Fixed values: (node, primitive, parents) of the additions that a search may draw on when nothing else proposes.
+_ADDITIONS = (
+    ("base_features", "tabular_signed_log", ("x",)),
+    ("base_features", "tabular_sine", ("x",)),
+    ("nonlinear_features", "tabular_tanh", ("x",)),
+    ("nonlinear_features", "tabular_sine_interactions", ("x",)),
+    ("nonlinear_features", "tabular_gated_log", ("x",)),
+    ("summary_features", "tabular_quantile_summary", ("x",)),
+    ("ridge_w", "tabular_row_norm_weight", ("x",)),
+    ("output", "pass_outputs", ("base_features", "summary_features")),
+    ("output", "activated_outputs", ("base_features", "nonlinear_features", "activation")),
+    ("output", "projection_outputs", ("base_features", "nonlinear_features")),
+    ("shape_stats", "spectral_basic", ("series",)),
+    ("segment_stats", "segment_robust", ("series",)),
+    ("segment_stats", "segment_late_shift", ("series",)),
+    ("trend_stats", "trend_late_window", ("series",)),
+    ("segment_stats", "row_recent_change", ("series",)),
+    ("shape_stats", "row_volatility_burst", ("series",)),
+    ("shape_stats", "row_cusum_local", ("series",)),
+    ("activation", "sigmoid_gate_callable", ()),
+    ("output", "structural_break_baseline_outputs", ("series",)),
+    ("output", "event_detection_outputs", ("series",)),
+    ("output", "interaction_outputs", _SEGMENTS),
+    ("output", "row_local_outputs", ("series",)),
+    ("output", "row_time_basis_outputs", ("series",)),
+    ("output", "row_multiscale_tail_outputs", ("series",)),
+    ("output", "row_baseline_outputs", ("series",)),
+    ("output", "row_context_outputs", ("series",)),
+    ("output", "projection_outputs", _SEGMENTS),
+    ("shape_stats", "shape_drawdown", ("series",)),
+    ("shape_stats", "shape_post_concentration", ("series",)),
+    ("ridge_w", "boundary_energy_weight", ("series",)),
+    ("ridge_w", "late_energy_weight", ("series",)),
+    ("ridge_g", "huber_residual_weight", ()),
+)
+_NUMBERS = {"projection_outputs": ["projection_vector"], "sigmoid_gate_callable": ["gate_scale"], "huber_residual_weight": ["residual_huber_scale"]}
+BUILT_IN = [{"add": [{"node": node, "id": f"{primitive}_added", "primitive": primitive, "parents": list(parents), "globals": _NUMBERS.get(primitive, [])}]} for node, primitive, parents in _ADDITIONS]

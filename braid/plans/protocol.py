@@ -6,12 +6,13 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import nz
 from ..operators.ordered import quantiles
-from .linalg import Ridge, ridge
+from .linalg import EPS, Ridge, ridge, ridge_of
 from .rank import GRID, fit as rank_fit
 
 
@@ -112,6 +113,49 @@ def random_features(df: DataFrame, features: list[str], size: int = 64, seed: in
     return df.withColumns(new).drop(*(f"__z{i}" for i in range(p))), list(new)
 
 
+@dataclass
+class RandomFeatureRidge:
+    """Ridge over z-scores and random sines and hyperbolic tangents of them; what is not finite becomes the training median."""
+
+    raw: RawRidge
+    centre: np.ndarray
+    scale: np.ndarray
+    projection: np.ndarray
+    bias: np.ndarray
+    model: Ridge
+
+    @classmethod
+    def fit(cls, df: DataFrame, features: list[str], y: str, size: int = 256, seed: int = 0) -> RandomFeatureRidge:
+        if size <= 0:
+            raise ValueError("size is positive")
+        raw, p = RawRidge.fit(df, features, y), len(features)
+        columns = [f"__i{i}" for i in range(p)]
+        stats = raw.imputed(df).agg(*(F.avg(c) for c in columns), *(F.stddev_pop(c) for c in columns)).first()
+        scale = np.array([s if s is not None and s >= EPS else 1.0 for s in stats[p:]])
+        rng = np.random.default_rng(seed)
+        projection, bias = rng.normal(0, 1 / np.sqrt(p), (p, size)), rng.uniform(-np.pi, np.pi, size)
+        out = cls(raw, np.array([m or 0.0 for m in stats[:p]]), scale, projection, bias, Ridge(np.zeros(0), 0.0, 0.0))
+        kernel = lambda rows: np.column_stack((out.expand(rows[:, :p]), rows[:, p]))
+        out.model = ridge_of(raw.imputed(df), [*columns, y], kernel, p + size)
+        return out
+
+    def expand(self, x: np.ndarray) -> np.ndarray:
+        z = (x - self.centre) / self.scale
+        latent = z @ self.projection + self.bias
+        latent[:, 0::2], latent[:, 1::2] = np.sin(latent[:, 0::2]), np.tanh(latent[:, 1::2])
+        return np.column_stack((z, latent))
+
+    def predict(self, df: DataFrame, out: str = "prediction") -> DataFrame:
+        """``df`` with the prediction, by batches: hundreds of random features are no expression to compile."""
+        columns = [f"__i{i}" for i in range(len(self.raw.features))]
+
+        @F.pandas_udf("double")
+        def predicted(*x: pd.Series) -> pd.Series:
+            return pd.Series(self.model.predict(self.expand(np.column_stack(x))))
+
+        return self.raw.imputed(df).withColumn(out, predicted(*columns)).drop(*columns)
+
+
 def select_rank(df: DataFrame, features: list[str], y: str, fold: str, score: Callable[[DataFrame, str, str], float], grid=GRID):
     """(score, size, power) of the rank ensemble with the best pooled out-of-fold score; the first of equals."""
     folds = [r[0] for r in df.select(fold).distinct().orderBy(fold).collect()]

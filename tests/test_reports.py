@@ -105,6 +105,26 @@ def test_reports_of_an_evaluation(spark, rows, tmp_path):
     assert result_graph.name == "tabular_seed"
 
 
+def test_readouts_over_random_features_and_the_pool(spark, rows):
+    from braid.plans.protocol import RandomFeatureRidge
+
+    df = rows.withColumn("b", F.when(F.col("row_id") % 17 == 0, float("nan")).otherwise(F.col("b")))
+    model = RandomFeatureRidge.fit(df, ["a", "b", "c"], "y", size=64, seed=2)
+    got = model.predict(df).toPandas()
+    x = got[["a", "b", "c"]].to_numpy()
+    x = np.where(np.isfinite(x), x, np.nanmedian(x, axis=0))
+    z = model.expand(x)
+    assert z.shape == (240, 67) and np.allclose(got["prediction"], z @ model.model.coef + model.model.intercept)
+    u = z - z.mean(axis=0)
+    y = got["y"].to_numpy()
+    sd = np.where(z.std(axis=0) < 1e-8, 1.0, z.std(axis=0))
+    beta = np.linalg.solve((u / sd).T @ (u / sd) + model.model.alpha * np.eye(67), (u / sd).T @ (y - y.mean())) / sd
+    assert np.allclose(beta, model.model.coef, atol=1e-6)
+    assert ((got["y"] - got["prediction"]) ** 2).mean() < got["y"].var() / 2
+    pool = E.evaluate(tabular_seed(), rows, INPUTS, "y", "fold", most=6, keep=3).diagnostics["valid_feature_pool"]
+    assert pool["n_configurations"] > 1 and pool["rmse"] < rows.agg(F.stddev_pop("y")).first()[0]
+
+
 def test_screening_by_absolute_errors(spark, rows):
     result = E.evaluate(tabular_seed(), rows, INPUTS, "y", "fold", metric="mae", most=8, keep=2)
     g = tabular_seed()
