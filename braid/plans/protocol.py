@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.expr import nz
@@ -69,6 +69,23 @@ class Budget:
 RESULT_SCHEMA = "task string, method string, seed long, split string, status string, metrics map<string,double>, usage map<string,double>"
 
 
+def result_rows(spark: SparkSession, rows: list[dict]) -> DataFrame:
+    """Results of experiments as a table (RESULT_SCHEMA). Each (task, method, seed, split) stands once; what succeeded has finite metrics."""
+    seen = set()
+    for r in rows:
+        key = (r["task"], r["method"], r["seed"], r["split"])
+        if key in seen:
+            raise ValueError(f"{key} has a result already")
+        seen.add(key)
+        if r["status"] not in ("ok", "failed"):
+            raise ValueError(f"unknown status {r['status']!r}")
+        if r["status"] == "ok" and not (r.get("metrics") and all(np.isfinite(v) for v in r["metrics"].values())):
+            raise ValueError(f"{key} has no finite metrics")
+    names = [c.split()[0] for c in RESULT_SCHEMA.split(", ")]
+    typed = [tuple({k: float(v) for k, v in (r.get(n) or {}).items()} if n in ("metrics", "usage") else r[n] for n in names) for r in rows]
+    return spark.createDataFrame(typed, RESULT_SCHEMA)
+
+
 @dataclass
 class RawRidge:
     """Ridge over raw columns; what is not finite becomes the training median (0 where nothing is finite)."""

@@ -168,6 +168,17 @@ def test_objective_report_and_constant_targets(spark, rows):
         rows.agg(scoring.nrmse(F.lit(1.0), F.col("a"))).collect()
 
 
+def test_result_rows(spark):
+    from braid.plans.protocol import result_rows
+
+    row = {"task": "t", "method": "m", "seed": 1, "split": "validation", "status": "ok", "metrics": {"rmse": 1}, "usage": {"seconds": 2}}
+    got = result_rows(spark, [row, row | {"seed": 2, "status": "failed", "metrics": None}]).collect()
+    assert got[0].metrics == {"rmse": 1.0} and got[1].metrics == {}
+    for bad in ([row, row], [row | {"status": "odd"}], [row | {"metrics": {"rmse": float("nan")}}]):
+        with pytest.raises(ValueError):
+            result_rows(spark, bad)
+
+
 def test_schemas(spark, rows, tmp_path):
     s = infer_schema(spark.createDataFrame([], "y double, x array<double>, Unit_ID long, cycle int, event int, other double"), default_input="x")
     assert [(i.name, i.kind, i.roles) for i in s.inputs] == [("x", "numeric_matrix", ("feature",)), ("Unit_ID", "group_id", ("group", "unit")), ("cycle", "time_index", ("time", "sequence")), ("event", "event_label", ("event",)), ("other", "numeric_vector", ())]
