@@ -53,6 +53,20 @@ def translate(text: str, names: Mapping[str, Column]) -> Column:
                 return clip(of(x), constant(low), constant(high))
             case ast.Call(func=ast.Name(id="quantile"), args=[x, q], keywords=[]):
                 return ARRAY["quantile"](of(x), constant(q))
+            case ast.Call(func=ast.Name(id="ones" | "zeros" as name), args=[n], keywords=[]):
+                return F.array_repeat(F.lit(float(name == "ones")), int(constant(n)))
+            case ast.Call(func=ast.Name(id="full"), args=[n, v], keywords=[]):
+                return F.array_repeat(of(v), int(constant(n)))
+            case ast.Call(func=ast.Name(id="linspace"), args=[a, b, n], keywords=[]):
+                first, last, n = constant(a), constant(b), int(constant(n))
+                return F.array(*(F.lit(first + (last - first) * i / max(n - 1, 1)) for i in range(n)))
+            case ast.Call(func=ast.Name(id="concatenate"), args=[ast.List(elts=parts) | ast.Tuple(elts=parts)], keywords=[]) if parts:
+                return F.concat(*map(of, parts))
+            case ast.Call(func=ast.Name(id="cumsum"), args=[x], keywords=[]):
+                a = of(x)
+                return F.transform(a, lambda _, i: F.aggregate(F.slice(a, F.lit(1), i + 1), F.lit(0.0), lambda t, v: t + v))
+            case ast.Call(func=ast.Name(id="asarray"), args=[x], keywords=[]):
+                return of(x)
             case ast.Call(func=ast.Name(id=name), args=args, keywords=[]) if name in SCALAR or name in ARRAY:
                 return (SCALAR.get(name) or ARRAY[name])(*map(of, args))
         raise ValueError(f"not allowed: {ast.unparse(node)}")

@@ -116,6 +116,17 @@ def test_sources_over_series(spark):
     assert np.allclose(got[own].to_numpy(), np.column_stack((v[:, 3:].mean(axis=1) - v[:, :3].mean(axis=1), v.std(axis=1))))
 
 
+def test_array_functions_of_sources(spark):
+    from braid.functions.source import translate
+
+    df = spark.createDataFrame([([1.0, 2.0, 4.0],)], "a array<double>")
+    for text, want in (
+        ("cumsum(a)", [1.0, 3.0, 7.0]), ("concatenate([a, ones(2)])", [1.0, 2.0, 4.0, 1.0, 1.0]), ("linspace(0, 1, 3)", [0.0, 0.5, 1.0]), ("full(2, 3)", [3.0, 3.0]),
+        ("zeros(1)", [0.0]), ("sort(asarray(a))", [1.0, 2.0, 4.0]), ("sum(cumsum(a))", 11.0),
+    ):
+        assert df.select(translate(text, {"a": F.col("a")}).alias("v")).first().v == want
+
+
 def test_contracts(rows):
     def seen(contract):
         g = with_alternative(tabular_seed(), "base_features", Alternative("c", "tabular_raw", ("x",), (), (), "", tuple(sorted(contract.items()))))
