@@ -12,10 +12,12 @@ that differ in repeats alone meet by the similarity of their sets.
 
 Texts that agree in all registers of a band meet in a bucket. A bucket links its
 members to its least member only, never all to all, and each link is verified by
-the Jaccard similarity of the two shingle sets. A bucket that still holds more than
-one component has one that is the largest; the texts of its other components are compared with
-all texts of the bucket outside their own, block by block, by the number of shingles that two texts share.
-What passes is verified like the links.
+the Jaccard similarity of the two shingle sets. In buckets that still hold more than one
+component the rest is found by prefix filtering, which is exact: of two sets of similarity t each has a
+shingle of the other among its first n - ceil(t n) + 1, the rarest first. Texts whose rarest
+shingles meet no other component are done; that ends buckets of texts that share a common passage.
+Of what is left of a bucket, the texts outside its largest component are compared with all texts outside
+their own, block by block, by the number of shingles that two texts share. What passes is verified like the links.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .components import components
 from ..tables import fresh_names, written
@@ -153,6 +156,33 @@ def _sketch(size: int, bands: int, rows: int):
     return work
 
 
+def _values(size: int):
+    """(node, text) to (node, values): the text's shingles."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, to, doc, value, _ in shingles(batch.column(1), size):
+                ends = np.searchsorted(doc, np.arange(to - at + 1)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), pa.ListArray.from_arrays(pa.array(ends), pa.array(value.view(np.int64)))], ["node", "values"])
+
+    return work
+
+
+def _near_others(nodes: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
+    """Of ``nodes`` (node, component, n), those whose prefix meets one of another component."""
+    found = texts.join(nodes, "node", "left_semi").select("node", "text").mapInArrow(_values(size), "node binary, values array<long>")
+    rows = written(found.select("node", F.explode("values").alias("value")), "shingles")
+    often = written(rows.groupBy("value").agg(F.count("*").alias("df")).where("df > 1"), "frequencies")
+    shared = written(rows.join(often, "value"), "shared-shingles").join(nodes, "node")
+    own = Window.partitionBy("node")  # the shingles of one text
+    ranked = shared.withColumns({"place": F.row_number().over(own.orderBy("df", "value")), "common": F.count("*").over(own)})
+    # shingles that no other text has come first, and meet none
+    first = F.col("n") - F.ceil(F.col("n") * F.lit(similarity) - 1e-9) + 1 - (F.col("n") - F.col("common"))
+    prefix = written(ranked.where(F.col("place") <= first).select("value", "node", "component"), "prefixes")
+    meet = written(prefix.groupBy("value").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("value"), "meeting-shingles")
+    return prefix.join(meet, "value").select("node").distinct()
+
+
 def _sets(size: int):
     """(node, text) to (node, held): the low halves of the text's shingles, sorted. Two texts share at least as many of these as shingles."""
 
@@ -310,6 +340,10 @@ def _rest(buckets: DataFrame, sketches: DataFrame, linked: DataFrame, texts: Dat
     about = sketches.select("node", "n", "low").join(buckets.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
     member = buckets.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node")).join(about.select("node", "n"), "node")
     member = written(member.select("key", "node", "component", "n"), "members")
+    mixed = member.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
+    nodes = written(member.join(written(mixed, "mixed"), "key").select("node", "component", "n").distinct(), "mixed-nodes")
+    live = written(_near_others(nodes, texts, size, similarity), "near-others")
+    member = written(member.join(live, "node", "left_semi"), "members")
     parts = member.groupBy("key", "component").agg(F.count("*").alias("members"), F.sum("n").alias("n"))
     mixed = parts.groupBy("key").agg(F.max(F.struct("n", "component", "members")).alias("major"), F.sum("n").alias("all_n"), F.sum("members").alias("all_members")).where(F.col("all_members") > F.col("major.members"))
     mixed = mixed.withColumns({"minor_n": F.col("all_n") - F.col("major.n"), "minor_members": F.col("all_members") - F.col("major.members")})
