@@ -48,6 +48,18 @@ def test_query(spark, db, name):
     assert got == want
 
 
+@pytest.mark.parametrize("name", ["row_cusum_local_events"])
+def test_series_that_come_back_to_their_peak(spark, tmp_path, name):
+    """A repeated series reaches its largest running sum once a period; the place told is that of the SQL."""
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT event_id + 100000 * k AS event_id, ts + to_days(30 * k::INT) AS ts, user_id, event_type, value, props FROM '{SF}/events.parquet', range(4) t(k)) TO '{tmp_path}/events.parquet'")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    df = catalogue.queries()[name](spark, str(tmp_path))
+    want = con.execute(f"SELECT {', '.join(df.columns)} FROM ({catalogue.oracle_sql()[name]}) ORDER BY user_id").fetchall()
+    got = [tuple(r) for r in df.orderBy("user_id").collect()]
+    assert [tuple(map(plain, r)) for r in got] == [tuple(map(plain, r)) for r in want]
+
+
 def test_every_query_with_sql_is_registered():
     assert set(catalogue.oracle_sql()) <= set(catalogue.queries())
     assert len(catalogue.queries()) > 90
