@@ -48,7 +48,7 @@ def test_query(spark, db, name):
     assert got == want
 
 
-@pytest.mark.parametrize("name", ["row_cusum_local_events"])
+@pytest.mark.parametrize("name", ["row_cusum_local_events", "row_baseline_events"])
 def test_series_that_come_back_to_their_peak(spark, tmp_path, name):
     """A repeated series reaches its largest running sum once a period; the place told is that of the SQL."""
     con = duckdb.connect()
