@@ -71,7 +71,7 @@ def fit_frozen(g: Graph, config: Config, df: DataFrame, inputs: dict[str, object
     s = Superset(g, df, inputs, boundary, length)
     own, w = s.features(config), s.weight(config)
     s.columns["__w0"], s.level["__w0"] = F.lit(1.0) if w is None else F.greatest(nz(w.cast("double")), F.lit(0.0)), 0
-    frame = s.frame([F.col(y).cast("double").alias("__y")]).withColumns({"__one": F.lit(1.0), "__fold": F.lit(0)}).persist()
+    frame = s.frame([F.col(y).cast("double").alias("__y")]).withColumns({"__one": F.lit(1.0), "__n": F.lit(1.0), "__fold": F.lit(0)}).persist()
     try:
         columns = [*dict.fromkeys(own), "__y"]
         first = frame.agg(*(F.coalesce(F.avg(c), F.lit(0.0)) for c in [*columns, "__w0"])).first()
@@ -87,7 +87,7 @@ def fit_frozen(g: Graph, config: Config, df: DataFrame, inputs: dict[str, object
         rule = s.rule(config)
         for _ in range(0 if rule is None else irls_steps):
             again = _reweighted(frame, columns, weights, [key], per, names, w_mean, fits, {0: rule}, {}, shift, place)
-            solver = Solver.of(again[key][0].take(at), plain.take(at))
+            solver = Solver.of(again[key][0], plain.take(at))
             fits = _select(frame, columns, weights, [key], per, names, {key: solver}, (fits, {0: rule}, {key: again[key][1]}, w_mean), place)
     finally:
         frame.unpersist()

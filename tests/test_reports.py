@@ -266,3 +266,25 @@ def test_structural_seed_reports_its_weights(spark):
     df = readers.load(spark, {"adapter": "synthetic-structural-break", "n_samples": 60, "length": 32, "seed": 4}).withColumn("fold", (F.col("row_id") % 3).cast("int"))
     result = E.evaluate(structural_seed(), df, {"series": "series"}, "y", "fold", boundary=16, length=32, most=3, keep=3)
     assert len(result.alphas) == 3 and result.diagnostics["global_ridge"]["alpha"] > 0 and result.diagnostics["folds"]["std"] >= 0
+
+
+def test_equal_rows_are_one_row_with_a_count(spark, rows, monkeypatch):
+    """The passes see each different row once; scores and penalties are those of all rows one by one."""
+    seen = []
+
+    class Watched(E.Held):
+        def __init__(self, df):
+            super().__init__(df)
+            seen.append((len(self.rows), self.take(["__n"]).sum()))
+
+    monkeypatch.setattr(E, "Held", Watched)
+    many = rows.withColumn("copy", F.explode(F.sequence(F.lit(0), (F.col("row_id") % 4).cast("int"))))
+    counted = E.evaluate(tabular_seed(), many, INPUTS, "y", "fold", most=6, keep=3)
+    monkeypatch.setattr(E.Superset, "counted", lambda s, y, fold: s.table.df.select("*", y.alias("__y"), fold.alias("__fold"), F.lit(1.0).alias("__n")))
+    single = E.evaluate(tabular_seed(), many, INPUTS, "y", "fold", most=6, keep=3)
+    assert seen == [(rows.count(), many.count()), (many.count(), many.count())]
+    assert counted.config == single.config and counted.alphas == single.alphas
+    assert [r["score"] for r in counted.table if "score" in r] == pytest.approx([r["score"] for r in single.table if "score" in r], rel=1e-9)
+    for name in ("prediction_std", "residual_std", "effective_rank", "mean_max_corr"):
+        assert counted.diagnostics[name] == pytest.approx(single.diagnostics[name], rel=1e-6)  # roots of eigenvalues near 0
+    assert counted.diagnostics["valid_feature_pool"] == pytest.approx(single.diagnostics["valid_feature_pool"], rel=1e-6)
