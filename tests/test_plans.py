@@ -171,6 +171,22 @@ def test_series_of_odd_lengths_and_values(spark):
     assert len(out) == 5 and all(v is not None and np.isfinite(v) for r in out for v in r[1:])
 
 
+def test_series_sums_round_in_order(spark):
+    """Means and slopes are plain sums in the order of the series, bit for bit, so that the SQL's roundings are theirs."""
+    x = [round(((i * 7919) % 9973) / 20, 2) for i in range(240)]
+    out = series_features(spark.createDataFrame([(1, x)], "row_id long, series array<double>"), ["row_id"], ["row_baseline_outputs"]).first()
+
+    def total(values):
+        s = 0.0
+        for v in values:
+            s += v
+        return s
+
+    t = [-1 + 2.0 * i / 239 for i in range(240)]
+    assert out["last_vs_older_mean"] == x[-1] - total(x[:120]) / 120
+    assert out["full_window_slope"] == total(v * u for v, u in zip(x, t, strict=True)) / total(u * u for u in t)
+
+
 def test_safe_corr_of_constants(spark):
     df = spark.range(10).selectExpr("id * 1.0D AS x", "3.0D AS c")
     assert df.agg(scoring.safe_corr(F.col("x"), F.col("c")).alias("r")).first().r == 0

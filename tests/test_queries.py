@@ -60,6 +60,18 @@ def test_series_that_come_back_to_their_peak(spark, tmp_path, name):
     assert [tuple(map(plain, r)) for r in got] == [tuple(map(plain, r)) for r in want]
 
 
+@pytest.mark.parametrize("name", ["row_baseline_events", "row_local_events", "trend_basic_events"])
+def test_series_of_few_values(spark, tmp_path, name):
+    """Users with one to six events: a mean of no value and a slope of one value are missing, as in the SQL."""
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT * EXCLUDE r FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM '{SF}/events.parquet') WHERE r <= 1 + user_id % 6) TO '{tmp_path}/events.parquet'")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    df = catalogue.queries()[name](spark, str(tmp_path))
+    want = con.execute(f"SELECT {', '.join(df.columns)} FROM ({catalogue.oracle_sql()[name]}) ORDER BY user_id").fetchall()
+    got = [tuple(r) for r in df.orderBy("user_id").collect()]
+    assert [tuple(map(plain, r)) for r in got] == [tuple(map(plain, r)) for r in want]
+
+
 def test_every_query_with_sql_is_registered():
     assert set(catalogue.oracle_sql()) <= set(catalogue.queries())
     assert len(catalogue.queries()) > 90
